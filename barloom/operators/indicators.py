@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,164 +18,181 @@ MACD_SPANS = (12, 26, 9)
 REACH = 96
 """Rows before a bar that the deepest chain of strict windows needs (mean 50 over ATR 14 over one lag)."""
 
-SCANS = tuple(Ema(f"ema_{n}", n) for n in EMA_SPANS) + tuple(Ema(f"_ema_{n}", n) for n in MACD_SPANS)
+
+@dataclass(frozen=True)
+class Family:
+    """A group of indicator columns: how to add them, the families they build on, the averages they read."""
+
+    add: Callable[[Framed], Framed]
+    needs: tuple[str, ...] = ()
+    spans: tuple[int, ...] = ()
 
 
 def _candle(f: Framed) -> Framed:
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    spread = h - l + F.lit(TINY)
-    greens = {f"prev_{i}_green": flag(f.prev("close", i) > f.prev("open", i)) for i in range(1, 5)}
+    spread = h - l + TINY
+    greens = [flag(f.prev("close", i) > f.prev("open", i)) for i in range(1, 5)]
     return f.with_columns(
         {
-            "_vol": F.coalesce(F.col("volume"), F.lit(1.0)) if "volume" in f.columns else F.lit(1.0),
-            "_spread": spread,
             "body_pct": F.abs(c - o) / spread,
             "body_ratio": F.abs(c - o) / spread,
             "upper_wick_ratio": (h - F.greatest(c, o)) / spread,
             "lower_wick_ratio": (F.least(c, o) - l) / spread,
-            **greens,
-        }
-    ).with_columns(
-        {
-            "consec_green": sum((F.col(f"prev_{i}_green") for i in (2, 3)), F.col("prev_1_green")),
+            **{f"prev_{i}_green": green for i, green in enumerate(greens, 1)},
+            "consec_green": greens[0] + greens[1] + greens[2],
+            "consec_red": 3 - (greens[0] + greens[1] + greens[2]),
         }
-    ).with_columns({"consec_red": 3 - F.col("consec_green")})
+    )
 
 
 def _moves(f: Framed) -> Framed:
-    """Per-bar changes that the rolling means are taken of."""
-    before = f.prev("close")
-    up = F.col("high") - f.prev("high")
-    down = f.prev("low") - F.col("low")
-    return f.with_columns({"_delta": F.col("close") - before, "_up": up, "_down": down, "_pc": before}).with_columns(
+    """Change from the previous close, and its positive and negative part."""
+    return f.with_columns({"_delta": F.col("close") - f.prev("close")}).with_columns(
         {
-            "_gain": F.greatest(F.col("_delta"), F.lit(0.0)) + F.col("_delta") * 0,
-            "_loss": F.greatest(-F.col("_delta"), F.lit(0.0)) + F.col("_delta") * 0,
-            "true_range": F.greatest(
-                F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("_pc")), F.abs(F.col("low") - F.col("_pc"))
-            ),
-            "_plus": _directional("_up", "_down"),
-            "_minus": _directional("_down", "_up"),
+            "_gain": F.when(F.col("_delta").isNotNull(), F.greatest(F.col("_delta"), F.lit(0.0))),
+            "_loss": F.when(F.col("_delta").isNotNull(), F.greatest(-F.col("_delta"), F.lit(0.0))),
         }
     )
 
 
-def _directional(own: str, other: str) -> Column:
-    """Positive part of the own move unless the other side moved more; the first bar counts as no move."""
-    mine = F.greatest(F.coalesce(F.col(own), F.lit(0.0)), F.lit(0.0))
-    theirs = F.greatest(F.coalesce(F.col(other), F.lit(0.0)), F.lit(0.0))
-    return F.when(mine < theirs, F.lit(0.0)).otherwise(mine)
+def _averages(f: Framed) -> Framed:
+    c, ema = F.col("close"), {n: F.col(f"ema_{n}") for n in EMA_SPANS}
+    return f.with_columns(
+        {
+            "c_vs_ema5": (c - ema[5]) / (c + TINY),
+            "c_vs_ema20": (c - ema[20]) / (c + TINY),
+            "ema5_vs_ema20": (ema[5] - ema[20]) / (c + TINY),
+            "ema10_vs_ema50": (ema[10] - ema[50]) / (c + TINY),
+            "ema5_slope": (ema[5] - f.prev("ema_5", 3)) / (c + TINY),
+            "ema20_slope": (ema[20] - f.prev("ema_20", 5)) / (c + TINY),
+        }
+    )
 
 
-def _averages(f: Framed, lookback: int | None) -> Framed:
+def _means(f: Framed) -> Framed:
     c = F.col("close")
-    fast, slow, signal = MACD_SPANS
-    first, second, smooth = (F.col(f"_ema_{n}") for n in MACD_SPANS)
-    macd_signal = chained_ema(first, fast, smooth, signal) - chained_ema(second, slow, smooth, signal)
-    f = f.with_columns({"macd": first - second, "macd_signal": macd_signal})
-    if lookback:
-        spans = {f"ema_{n}": restarted(f, f"ema_{n}", "close", n, lookback) for n in EMA_SPANS}
-        f = f.with_columns(spans)
     return f.with_columns({f"sma_{n}": f.mean("close", n) for n in (5, 10, 20)}).with_columns(
+        {"c_vs_sma20": (c - F.col("sma_20")) / (c + TINY), "_std20": f.strict(F.stddev_samp, "close", 20)}
+    )
+
+
+def _bands(f: Framed) -> Framed:
+    upper, lower = F.col("sma_20") + 2 * F.col("_std20"), F.col("sma_20") - 2 * F.col("_std20")
+    f = f.with_columns(
         {
-            "c_vs_ema5": (c - F.col("ema_5")) / (c + TINY),
-            "c_vs_ema20": (c - F.col("ema_20")) / (c + TINY),
-            "c_vs_sma20": (c - F.col("sma_20")) / (c + TINY),
-            "ema5_vs_ema20": (F.col("ema_5") - F.col("ema_20")) / (c + TINY),
-            "ema10_vs_ema50": (F.col("ema_10") - F.col("ema_50")) / (c + TINY),
-            "ema5_slope": (F.col("ema_5") - f.prev("ema_5", 3)) / (c + TINY),
-            "ema20_slope": (F.col("ema_20") - f.prev("ema_20", 5)) / (c + TINY),
-            "macd_hist": F.col("macd") - F.col("macd_signal"),
+            "bb_upper": upper,
+            "bb_middle": F.col("sma_20"),
+            "bb_lower": lower,
+            "bb_width": (upper - lower) / (F.col("sma_20") + TINY),
+            "bb_pos": (F.col("close") - lower) / (upper - lower + TINY),
         }
     )
+    return f.with_columns({"bb_squeeze": flag(F.col("bb_width") < f.mean("bb_width", 20) * 0.8)})
 
 
 def relative_strength(f: Framed, n: int) -> Column:
     return 100 - 100 / (1 + f.mean("_gain", n) / (f.mean("_loss", n) + TINY))
 
 
-def _oscillators(f: Framed) -> Framed:
+def _rsi(f: Framed) -> Framed:
+    f = f.with_columns({f"rsi_{n}": relative_strength(f, n) for n in (7, 14, 21)})
+    return f.with_columns({"rsi_slope": F.col("rsi_14") - f.prev("rsi_14", 3)})
+
+
+def _macd(f: Framed) -> Framed:
+    fast, slow, signal = MACD_SPANS
+    first, second, smooth = (F.col(f"ema_{n}") for n in MACD_SPANS)
+    smoothed = chained_ema(first, fast, smooth, signal) - chained_ema(second, slow, smooth, signal)
+    f = f.with_columns(
+        {"macd": first - second, "macd_signal": smoothed, "macd_hist": first - second - smoothed}
+    )
+    return f.with_columns({"macd_hist_slope": F.col("macd_hist") - f.prev("macd_hist", 2)})
+
+
+def _stochastic(f: Framed) -> Framed:
     c = F.col("close")
-    high, low = f.strict(F.max, "high", 14), f.strict(F.min, "low", 14)
+    f = f.with_columns({"_hi14": f.strict(F.max, "high", 14), "_lo14": f.strict(F.min, "low", 14)})
+    width = F.col("_hi14") - F.col("_lo14") + TINY
     f = f.with_columns(
-        {
-            **{f"rsi_{n}": relative_strength(f, n) for n in (7, 14, 21)},
-            "stoch_k": 100 * (c - low) / (high - low + TINY),
-            "williams_r": -100 * (high - c) / (high - low + TINY),
-            "_std20": f.strict(F.stddev_samp, "close", 20),
-            **{f"roc_{n}": (c / F.nullif(f.prev("close", n), F.lit(0.0)) - 1) * 100 for n in (3, 5, 10)},
-            **{f"dir_{n}bar": flag(c > f.prev("close", n)) for n in (5, 10, 20)},
-        }
+        {"stoch_k": 100 * (c - F.col("_lo14")) / width, "williams_r": -100 * (F.col("_hi14") - c) / width}
     )
+    return f.with_columns({"stoch_d": f.mean("stoch_k", 3), "stoch_slope": F.col("stoch_k") - f.prev("stoch_k", 2)})
+
+
+def _channel(f: Framed) -> Framed:
+    return f.with_columns({"cci_20": (F.col("close") - F.col("sma_20")) / (0.015 * F.col("_std20") + TINY)})
+
+
+def _momentum(f: Framed) -> Framed:
+    c = F.col("close")
     return f.with_columns(
         {
-            "rsi_slope": F.col("rsi_14") - f.prev("rsi_14", 3),
-            "macd_hist_slope": F.col("macd_hist") - f.prev("macd_hist", 2),
-            "stoch_d": f.mean("stoch_k", 3),
-            "stoch_slope": F.col("stoch_k") - f.prev("stoch_k", 2),
-            "cci_20": (c - F.col("sma_20")) / (F.lit(0.015) * F.col("_std20") + TINY),
+            **{f"roc_{n}": (c / F.nullif(f.prev("close", n), F.lit(0.0)) - 1) * 100 for n in (3, 5, 10)},
+            **{f"dir_{n}bar": flag(c > f.prev("close", n)) for n in (5, 10, 20)},
         }
     )
 
 
+def _true_range(f: Framed) -> Framed:
+    h, l, before = F.col("high"), F.col("low"), f.prev("close")
+    f = f.with_columns({"true_range": F.greatest(h - l, F.abs(h - before), F.abs(l - before))})
+    return f.with_columns({"atr_14": f.mean("true_range", 14)})
+
+
 def _volatility(f: Framed) -> Framed:
-    c = F.col("close")
-    upper = F.col("sma_20") + 2 * F.col("_std20")
-    lower = F.col("sma_20") - 2 * F.col("_std20")
-    f = f.with_columns(
-        {
-            "atr_14": f.mean("true_range", 14),
-            "_atr10": f.mean("true_range", 10),
-            "bb_upper": upper,
-            "bb_middle": F.col("sma_20"),
-            "bb_lower": lower,
-            "bb_width": (upper - lower) / (F.col("sma_20") + TINY),
-            "bb_pos": (c - lower) / (upper - lower + TINY),
-        }
-    )
     return f.with_columns(
         {
-            "atr_pct": F.col("atr_14") / (c + TINY),
-            "bb_squeeze": flag(F.col("bb_width") < f.mean("bb_width", 20) * 0.8),
-            "keltner_upper": F.col("ema_20") + 2 * F.col("_atr10"),
-            "keltner_lower": F.col("ema_20") - 2 * F.col("_atr10"),
+            "atr_pct": F.col("atr_14") / (F.col("close") + TINY),
             "atr_regime": F.col("atr_14") / (f.mean("atr_14", 50) + TINY),
             "regime_volatile": flag(F.col("atr_14") > f.mean("atr_14", 20) * 1.5),
-            "plus_di": 100 * f.mean("_plus", 14) / (F.col("atr_14") + TINY),
-            "minus_di": 100 * f.mean("_minus", 14) / (F.col("atr_14") + TINY),
         }
     )
 
 
+def _keltner(f: Framed) -> Framed:
+    width = 2 * f.mean("true_range", 10)
+    return f.with_columns({"keltner_upper": F.col("ema_20") + width, "keltner_lower": F.col("ema_20") - width})
+
+
+def _directional(own: Column, other: Column) -> Column:
+    """Positive part of the own move unless the other side moved more; the first bar counts as no move."""
+    mine = F.greatest(F.coalesce(own, F.lit(0.0)), F.lit(0.0))
+    theirs = F.greatest(F.coalesce(other, F.lit(0.0)), F.lit(0.0))
+    return F.when(mine < theirs, F.lit(0.0)).otherwise(mine)
+
+
 def _trend(f: Framed) -> Framed:
+    up, down = F.col("high") - f.prev("high"), f.prev("low") - F.col("low")
+    f = f.with_columns({"_plus": _directional(up, down), "_minus": _directional(down, up)})
     f = f.with_columns(
         {
-            "di_diff": F.col("plus_di") - F.col("minus_di"),
-            "_dx": 100
-            * F.abs(F.col("plus_di") - F.col("minus_di"))
-            / (F.col("plus_di") + F.col("minus_di") + TINY),
+            "plus_di": 100 * f.mean("_plus", 14) / (F.col("atr_14") + TINY),
+            "minus_di": 100 * f.mean("_minus", 14) / (F.col("atr_14") + TINY),
         }
-    ).then(lambda f: f.with_columns({"adx_14": f.mean("_dx", 14)}))
+    )
+    difference, total = F.col("plus_di") - F.col("minus_di"), F.col("plus_di") + F.col("minus_di")
+    f = f.with_columns({"di_diff": difference, "_dx": 100 * F.abs(difference) / (total + TINY)})
+    f = f.with_columns({"adx_14": f.mean("_dx", 14)})
     return f.with_columns({"regime_trend": flag(F.col("adx_14") > 25), "regime_range": flag(F.col("adx_14") < 20)})
 
 
 def _volume(f: Framed) -> Framed:
-    o, c, vol = F.col("open"), F.col("close"), F.col("_vol")
-    usual = f.mean("_vol", 20) + TINY
-    f = f.with_columns({"_usual": usual})
-    close_pos = (c - F.col("low")) / F.col("_spread")
+    o, c, l, vol = F.col("open"), F.col("close"), F.col("low"), F.col("_vol")
+    f = f.with_columns({"_vol": F.coalesce(F.col("volume"), F.lit(1.0)) if "volume" in f.columns else F.lit(1.0)})
+    f = f.with_columns({"_usual": f.mean("_vol", 20) + TINY})
+    usual, spread = F.col("_usual"), F.col("high") - l + TINY
     return f.with_columns(
         {
-            "volume_ratio": vol / F.col("_usual"),
-            "volume_spike": flag(vol > F.col("_usual") * 2),
+            "volume_ratio": vol / usual,
+            "volume_spike": flag(vol > usual * 2),
             "_signed": F.signum("_delta") * vol,
             "vwap": f.strict(F.sum, c * vol, 20) / (f.strict(F.sum, "_vol", 20) + TINY),
-            "vsa_high_vol_bull": flag((vol > F.col("_usual") * 1.5) & (c > o)),
-            "vsa_high_vol_bear": flag((vol > F.col("_usual") * 1.5) & (c < o)),
-            "vsa_low_vol_up": flag((vol < F.col("_usual") * 0.7) & (c > o)),
-            "vsa_low_vol_down": flag((vol < F.col("_usual") * 0.7) & (c < o)),
-            "vsa_spread_vs_vol": F.col("_spread") / (vol + TINY),
-            "delta_approx": (close_pos - 0.5) * vol,
+            "vsa_high_vol_bull": flag((vol > usual * 1.5) & (c > o)),
+            "vsa_high_vol_bear": flag((vol > usual * 1.5) & (c < o)),
+            "vsa_low_vol_up": flag((vol < usual * 0.7) & (c > o)),
+            "vsa_low_vol_down": flag((vol < usual * 0.7) & (c < o)),
+            "vsa_spread_vs_vol": spread / (vol + TINY),
+            "delta_approx": ((c - l) / spread - 0.5) * vol,
         }
     )
 
@@ -188,21 +208,52 @@ def _session(f: Framed) -> Framed:
     )
 
 
-def indicator_frame(bars: DataFrame, back: int = 0, lookback: int | None = None, scans=(), **blocks) -> Framed:
-    """A frame wide enough for the indicators (and `back` rows more), with the running averages in it."""
-    reach = REACH + back + (lookback or 0)
-    return frame(bars, back=reach, scans=(*SCANS, *scans), **blocks)
-
-
-def indicators(f: Framed, lookback: int | None = None) -> Framed:
-    """All indicator columns but `obv`; unused ones are pruned from the plan.
+FAMILIES = {
+    "candle": Family(_candle),
+    "moves": Family(_moves),
+    "averages": Family(_averages, spans=EMA_SPANS),
+    "means": Family(_means),
+    "bands": Family(_bands, needs=("means",)),
+    "rsi": Family(_rsi, needs=("moves",)),
+    "macd": Family(_macd, spans=MACD_SPANS),
+    "stochastic": Family(_stochastic),
+    "channel": Family(_channel, needs=("means",)),
+    "momentum": Family(_momentum),
+    "true_range": Family(_true_range),
+    "volatility": Family(_volatility, needs=("true_range",)),
+    "keltner": Family(_keltner, needs=("true_range",), spans=(20,)),
+    "trend": Family(_trend, needs=("true_range",)),
+    "volume": Family(_volume, needs=("moves",)),
+    "session": Family(_session),
+}
+
+
+def _ordered(families: Sequence[str]) -> list[str]:
+    wanted = {need for name in families for need in (*FAMILIES[name].needs, name)}
+    return [name for name in FAMILIES if name in wanted]
+
+
+def indicator_frame(
+    bars: DataFrame,
+    families: Sequence[str] = tuple(FAMILIES),
+    back: int = 0,
+    ahead: int = 0,
+    lookback: int | None = None,
+    scans=(),
+    **blocks,
+) -> Framed:
+    """A frame with the wanted indicator families in it, reaching `back` rows beyond what they need.
 
     `lookback` restarts the exponential averages `ema_*` on the last so many bars, as an analysis
     over a bounded frame would; by default they run over the whole series.
     """
-    return f.then(
-        _candle, _moves, lambda x: _averages(x, lookback), _oscillators, _volatility, _trend, _volume, _session
-    )
+    names = _ordered(families)
+    spans = sorted({span for name in names for span in FAMILIES[name].spans})
+    averages = [Ema(f"ema_{n}", n) for n in spans]
+    f = frame(bars, back=REACH + back + (lookback or 0), ahead=ahead, scans=(*averages, *scans), **blocks)
+    if lookback:
+        f = f.with_columns({f"ema_{n}": restarted(f, f"ema_{n}", "close", n, lookback) for n in spans})
+    return f.then(*[FAMILIES[name].add for name in names])
 
 
 def with_obv(f: Framed) -> DataFrame:
@@ -240,7 +291,7 @@ FEATURES = (
 
 def features(bars: DataFrame, lookback: int | None = None, **blocks) -> DataFrame:
     """The feature table: one row per bar, every feature a column, unknown values as 0."""
-    table = with_obv(indicators(indicator_frame(bars, lookback=lookback, **blocks), lookback))
+    table = with_obv(indicator_frame(bars, lookback=lookback, **blocks))
     return table.select(*bars.columns, "rn", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in FEATURES])
 
 

@@ -17,8 +17,8 @@ FLAGS = {
 }
 
 
-def _family(name: str, columns: str, source=bars, source_sql: str = BARS) -> None:
-    """Register one group of indicator columns for every bar; the other columns are pruned from its plan."""
+def _family(name: str, families: str, columns: str, source=bars, source_sql: str = BARS) -> None:
+    """Register one group of indicator columns for every bar."""
     wanted = columns.split()
     flags = [c for c in wanted if c in FLAGS]
     numbers = [c for c in wanted if c not in FLAGS]
@@ -30,33 +30,39 @@ def _family(name: str, columns: str, source=bars, source_sql: str = BARS) -> Non
 
     @query(name, with_(source_sql, INDICATORS) + f"SELECT {', '.join(parts)} FROM feat")
     def run(spark, sf):
-        f = I.indicators(I.indicator_frame(source(spark, sf)))
+        f = I.indicator_frame(source(spark, sf), families.split())
         table = I.with_obv(f) if "obv" in wanted else f.core()
         return table.select("key", epoch(), *ints(*flags), *rounded(*numbers))
 
 
 _family(
     "candle_geometry",
+    "candle",
     "body_pct body_ratio upper_wick_ratio lower_wick_ratio prev_1_green prev_2_green prev_3_green prev_4_green "
     "consec_green consec_red",
 )
-_family("ema_family", "ema_5 ema_10 ema_20 ema_50 ema_200 c_vs_ema5 c_vs_ema20 ema5_vs_ema20 ema10_vs_ema50 "
+_family("ema_family", "averages", "ema_5 ema_10 ema_20 ema_50 ema_200 c_vs_ema5 c_vs_ema20 ema5_vs_ema20 ema10_vs_ema50 "
         "ema5_slope ema20_slope")
-_family("sma_bands", "sma_5 sma_10 sma_20 c_vs_sma20 bb_upper bb_middle bb_lower bb_width bb_pos bb_squeeze")
-_family("rsi_family", "rsi_7 rsi_14 rsi_21 rsi_slope")
-_family("macd", "macd macd_signal macd_hist macd_hist_slope")
-_family("stoch_williams_cci", "stoch_k stoch_d stoch_slope williams_r cci_20")
-_family("momentum_direction", "roc_3 roc_5 roc_10 dir_5bar dir_10bar dir_20bar")
-_family("atr_adx", "atr_14 atr_pct adx_14 plus_di minus_di di_diff regime_trend regime_range regime_volatile atr_regime")
-_family("keltner", "keltner_upper keltner_lower")
+_family("sma_bands", "means bands", "sma_5 sma_10 sma_20 c_vs_sma20 bb_upper bb_middle bb_lower bb_width bb_pos bb_squeeze")
+_family("rsi_family", "rsi", "rsi_7 rsi_14 rsi_21 rsi_slope")
+_family("macd", "macd", "macd macd_signal macd_hist macd_hist_slope")
+_family("stoch_williams_cci", "stochastic channel", "stoch_k stoch_d stoch_slope williams_r cci_20")
+_family("momentum_direction", "momentum", "roc_3 roc_5 roc_10 dir_5bar dir_10bar dir_20bar")
+_family(
+    "atr_adx",
+    "volatility trend",
+    "atr_14 atr_pct adx_14 plus_di minus_di di_diff regime_trend regime_range regime_volatile atr_regime",
+)
+_family("keltner", "keltner", "keltner_upper keltner_lower")
 _family(
     "obv_vwap_vsa",
+    "volume",
     "volume_ratio volume_spike obv vwap vsa_high_vol_bull vsa_high_vol_bear vsa_low_vol_up vsa_low_vol_down "
     "vsa_spread_vs_vol delta_approx",
     volume_bars,
     VOLUME_BARS,
 )
-_family("session_flags", "utc_hour london_session ny_session asian_session overlap_session day_of_week")
+_family("session_flags", "session", "utc_hour london_session ny_session asian_session overlap_session day_of_week")
 
 _NUMBERS = [c for c in I.FEATURES if c not in FLAGS]
 _FLAGS = [c for c in I.FEATURES if c in FLAGS]
@@ -112,5 +118,5 @@ def _restart_sql(n: int) -> str:
 )
 def ema_bounded_lookback(spark, sf):
     """Averages restarted on the last 150 bars of each bar."""
-    f = I.indicators(I.indicator_frame(bars(spark, sf), lookback=150), lookback=150)
+    f = I.indicator_frame(bars(spark, sf), ["averages"], lookback=150)
     return f.core("key", epoch(), *rounded("ema_20", "ema_50", "ema_200"))
