@@ -1,6 +1,6 @@
 """Queries over the supplied tables, one module per operator family."""
 
-from barloom.plans import bar_queries, indicator_queries, structure_queries
+from barloom.plans import bar_queries, context_queries, indicator_queries, structure_queries
 from barloom.plans.registry import ORACLES, QUERIES
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import ohlc
+from barloom.session import cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,7 +25,7 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
 
 def bars(spark: SparkSession, folder: str, tf_sec: int = 3600) -> DataFrame:
     """Hourly bars of the event ticks, without volume."""
-    return ohlc(ticks(spark, folder), tf_sec)
+    return cut_lineage(ohlc(ticks(spark, folder), tf_sec))
 
 
 def trades(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,4 +42,4 @@ def trades(spark: SparkSession, folder: str) -> DataFrame:
 
 def volume_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Daily bars with volume."""
-    return ohlc(trades(spark, folder), 86400)
+    return cut_lineage(ohlc(trades(spark, folder), 86400))
