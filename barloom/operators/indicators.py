@@ -102,7 +102,8 @@ def _rsi(f: Framed) -> Framed:
 def _macd(f: Framed) -> Framed:
     fast, slow, signal = MACD_SPANS
     first, second, smooth = (F.col(f"ema_{n}") for n in MACD_SPANS)
-    smoothed = chained_ema(first, fast, smooth, signal) - chained_ema(second, slow, smooth, signal)
+    mixed = chained_ema(first, fast, smooth, signal) - chained_ema(second, slow, smooth, signal)
+    smoothed = F.when(F.col("rn") == 0, 0.0).otherwise(mixed)
     f = f.with_columns(
         {"macd": first - second, "macd_signal": smoothed, "macd_hist": first - second - smoothed}
     )
