@@ -229,7 +229,7 @@ def update_throttle(spark, sf):
     with_(TICKS)
     + """, g AS (SELECT key, lag(epoch_us(ts)) OVER q AS a, epoch_us(ts) AS b FROM ticks
   WINDOW q AS (PARTITION BY key ORDER BY ts, seq))
-SELECT key, a AS from_us, b AS until_us, round((b - a) / 1e6::DOUBLE, 6) + 0.0::DOUBLE AS seconds,
+SELECT key, a AS from_us, b AS until_us, round((b - a) / 1e6::DOUBLE + 1e-11::DOUBLE, 6) + 0.0::DOUBLE AS seconds,
   (b - a) / 1e6::DOUBLE > 14400 AS hard
 FROM g WHERE (b - a) / 1e6::DOUBLE > 7200""",
 )

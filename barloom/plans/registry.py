@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+NUDGE = 1e-11
+
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,9 +28,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def r(value: Column | str, digits: int = 6) -> Column:
-    """Rounded double without negative zero, as the SQL side writes it."""
+    """Rounded double without negative zero, as the SQL side writes it.
+
+    The nudge sends exact ties up on both sides, whose last bits differ with the order of operations.
+    """
     value = F.col(value) if isinstance(value, str) else value
-    return F.round(value.cast("double"), digits) + F.lit(0.0)
+    return F.round(value.cast("double") + F.lit(NUDGE), digits) + F.lit(0.0)
 
 
 def rounded(*names: str, digits: int = 6) -> list[Column]:

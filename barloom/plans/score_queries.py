@@ -78,8 +78,8 @@ def prob_fusion_all_models(spark, sf):
     "model_agreement",
     with_(BARS, NUMBERED, PROBS.format(floor=0.05))
     + """SELECT key, bar_epoch, count(*) FILTER (prob > 0.5::DOUBLE) AS accepting,
-  round(avg(CASE WHEN prob > 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0::DOUBLE AS accept_share,
-  round(avg(prob) FILTER (prob > 0.5::DOUBLE), 6) + 0.0::DOUBLE AS accept_confidence,
+  round(avg(CASE WHEN prob > 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) + 1e-11::DOUBLE, 6) + 0.0::DOUBLE AS accept_share,
+  round(avg(prob) FILTER (prob > 0.5::DOUBLE) + 1e-11::DOUBLE, 6) + 0.0::DOUBLE AS accept_confidence,
   arg_max(model, row(abs(prob - 0.5::DOUBLE), model)) AS most_decisive FROM probs GROUP BY key, bar_epoch""",
 )
 def model_agreement(spark, sf):
@@ -91,8 +91,8 @@ def model_agreement(spark, sf):
 @query(
     "stacking_matrix",
     with_(BARS, NUMBERED, PROBS.format(floor=0.05))
-    + """SELECT key, bar_epoch, round(max(prob) FILTER (model = 'boosted'), 6) AS boosted,
-  round(max(prob) FILTER (model = 'forest'), 6) AS forest, round(max(prob) FILTER (model = 'logistic'), 6) AS logistic
+    + """SELECT key, bar_epoch, round(max(prob) FILTER (model = 'boosted') + 1e-11::DOUBLE, 6) AS boosted,
+  round(max(prob) FILTER (model = 'forest') + 1e-11::DOUBLE, 6) AS forest, round(max(prob) FILTER (model = 'logistic') + 1e-11::DOUBLE, 6) AS logistic
 FROM probs GROUP BY key, bar_epoch""",
 )
 def stacking_matrix(spark, sf):
@@ -375,9 +375,13 @@ FULL = with_(BARS, CONTEXT, RULES.format(src="ctx"), VOTE, SCORE).replace("WITH
 
 
 def context(spark, sf):
-    """The bar table with everything the score reads."""
-    source = bars(spark, sf)
-    wide = cut_lineage(analyse(source))
+    """The bar table with everything the score reads.
+
+    Bars, the wide feature table and the joined table are each written once: several branches read
+    them, and the plan above starts from a short one.
+    """
+    source = cut_lineage(bars(spark, sf), always=True)
+    wide = cut_lineage(analyse(source), always=True)
     on = ["key", "tf_sec", "bar_start"]
     numbered = number_rows(source)
     profiles = V.profile(V.histogram(numbered, V.last_bar_per_day(numbered)))
@@ -390,8 +394,7 @@ def context(spark, sf):
     profile = V.classify(flat, "close").select(*on, "vp_zone", "vp_at_poc")
     states = Z.zone_states(Z.touches(numbered, F.lit(C.ZONE)))
     zones = Z.best_zone(plain, Z.zones_near(source, states, F.lit(C.ZONE))).select(*on, "rz_score", "rz_signal")
-    frames = timeframe_agreement(source, 3600)
-    frames = frames.select(
+    frames = timeframe_agreement(source, 3600).select(
         *on, "mtf_direction", "mtf_agreement", "killzone", "tf60_bias", "tf15_bias", "tf5_bias", "tf2_bias"
     )
     mood = C.mood_bars(spark, sf, plain).select(*on, "buyer_ratio", "is_fresh", "extreme", "velocity")
@@ -400,7 +403,7 @@ def context(spark, sf):
     df = wide
     for part in (frames, zones, profile, mood, flow):
         df = df.join(part, on)
-    return df.join(fused, ["key", "bar_start"])
+    return cut_lineage(df.join(fused, ["key", "bar_start"]), always=True)
 
 
 @query(

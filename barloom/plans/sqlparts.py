@@ -62,7 +62,7 @@ def ema(column: str, span: int) -> str:
 
 
 def rd(*names: str, digits: int = 6) -> str:
-    return ", ".join(f"round(CAST({n} AS DOUBLE), {digits}) + 0.0::DOUBLE AS {n}" for n in names)
+    return ", ".join(f"round(CAST({n} AS DOUBLE) + 1e-11::DOUBLE, {digits}) + 0.0::DOUBLE AS {n}" for n in names)
 
 
 def ii(*names: str) -> str:

@@ -17,6 +17,8 @@ def build_session(app_name: str = "barloom", master: str | None = None, **extra:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
+        # Feature plans hold hundreds of expressions; recording a call site for each is slow.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **extra,
     }
     for name, value in settings.items():
