@@ -1,6 +1,15 @@
 """Queries over the supplied tables, one module per operator family."""
 
-from barloom.plans import bar_queries, context_queries, indicator_queries, score_queries, structure_queries
+from barloom.plans import (
+    bar_queries,
+    context_queries,
+    indicator_queries,
+    score_queries,
+    signal_queries,
+    source_queries,
+    structure_queries,
+    vote_queries,
+)
 from barloom.plans.registry import ORACLES, QUERIES
 
 
