@@ -11,29 +11,23 @@ from barloom.operators.indicators import indicator_frame
 from barloom.operators.mtf import mtf_points, range_spike, voting_regime, with_filter_trend
 from barloom.operators.scan import PriceFilter
 from barloom.operators.sentiment import crowd_multiplier, synthetic_multiplier, synthetic_sentiment
-from barloom.operators.structure import LOOKBACK, structure
+from barloom.operators.series import Framed, Layers
+from barloom.operators.structure import FINDINGS, FOUNDATIONS, LOOKBACK, scores
 
 SIGNAL_FAMILIES = ("averages", "bands", "rsi", "macd", "stochastic", "trend", "moves")
 
 
+def _previous_close(f: Framed) -> Layers:
+    yield {"prev_close": f.prev("close")}
+
+
 def analyse(bars: DataFrame, **blocks) -> DataFrame:
     """Every per-bar column the score reads. All windows share one exchange and one sort."""
     f = indicator_frame(bars, SIGNAL_FAMILIES, back=LOOKBACK + 16, scans=[PriceFilter()], **blocks)
-    f = f.then(
-        structure,
-        P.institutional,
-        P.wyckoff,
-        P.elliott,
-        P.supply_demand,
-        P.chart_patterns,
-        P.harmonics,
-        P.candle_reaction,
-        synthetic_sentiment,
-        voting_regime,
-        range_spike,
-        with_filter_trend,
-    )
-    df = f.with_columns({"prev_close": f.prev("close")}).core()
+    patterns = (P.wyckoff, P.elliott, P.supply_demand, P.chart_patterns, P.harmonics)
+    context = (synthetic_sentiment, voting_regime, range_spike, with_filter_trend, _previous_close)
+    f = f.then((*FOUNDATIONS, *patterns, *context, P.institutional), FINDINGS, scores, P.candle_reaction)
+    df = f.core()
     return df.select(*[c for c in df.columns if not c.startswith("_")])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.sessions import SESSIONS, flag, within
 from barloom.operators.scan import Ema, chained_ema, restarted
-from barloom.operators.series import Framed, frame
+from barloom.operators.series import Framed, Layers, frame
 
 TINY = 1e-10
 EMA_SPANS = (5, 10, 20, 50, 200)
@@ -23,136 +23,120 @@ REACH = 96
 class Family:
     """A group of indicator columns: how to add them, the families they build on, the averages they read."""
 
-    add: Callable[[Framed], Framed]
+    add: Callable[[Framed], Layers]
     needs: tuple[str, ...] = ()
     spans: tuple[int, ...] = ()
 
 
-def _candle(f: Framed) -> Framed:
+def _candle(f: Framed) -> Layers:
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     spread = h - l + TINY
     greens = [flag(f.prev("close", i) > f.prev("open", i)) for i in range(1, 5)]
-    return f.with_columns(
-        {
-            "body_pct": F.abs(c - o) / spread,
-            "body_ratio": F.abs(c - o) / spread,
-            "upper_wick_ratio": (h - F.greatest(c, o)) / spread,
-            "lower_wick_ratio": (F.least(c, o) - l) / spread,
-            **{f"prev_{i}_green": green for i, green in enumerate(greens, 1)},
-            "consec_green": greens[0] + greens[1] + greens[2],
-            "consec_red": 3 - (greens[0] + greens[1] + greens[2]),
-        }
-    )
+    yield {
+        "body_pct": F.abs(c - o) / spread,
+        "body_ratio": F.abs(c - o) / spread,
+        "upper_wick_ratio": (h - F.greatest(c, o)) / spread,
+        "lower_wick_ratio": (F.least(c, o) - l) / spread,
+        **{f"prev_{i}_green": green for i, green in enumerate(greens, 1)},
+        "consec_green": greens[0] + greens[1] + greens[2],
+        "consec_red": 3 - (greens[0] + greens[1] + greens[2]),
+    }
 
 
-def _moves(f: Framed) -> Framed:
+def _moves(f: Framed) -> Layers:
     """Change from the previous close, and its positive and negative part."""
-    return f.with_columns({"_delta": F.col("close") - f.prev("close")}).with_columns(
-        {
-            "_gain": F.when(F.col("_delta").isNotNull(), F.greatest(F.col("_delta"), F.lit(0.0))),
-            "_loss": F.when(F.col("_delta").isNotNull(), F.greatest(-F.col("_delta"), F.lit(0.0))),
-        }
-    )
+    yield {"_delta": F.col("close") - f.prev("close")}
+    yield {
+        "_gain": F.when(F.col("_delta").isNotNull(), F.greatest(F.col("_delta"), F.lit(0.0))),
+        "_loss": F.when(F.col("_delta").isNotNull(), F.greatest(-F.col("_delta"), F.lit(0.0))),
+    }
 
 
-def _averages(f: Framed) -> Framed:
+def _averages(f: Framed) -> Layers:
     c, ema = F.col("close"), {n: F.col(f"ema_{n}") for n in EMA_SPANS}
-    return f.with_columns(
-        {
-            "c_vs_ema5": (c - ema[5]) / (c + TINY),
-            "c_vs_ema20": (c - ema[20]) / (c + TINY),
-            "ema5_vs_ema20": (ema[5] - ema[20]) / (c + TINY),
-            "ema10_vs_ema50": (ema[10] - ema[50]) / (c + TINY),
-            "ema5_slope": (ema[5] - f.prev("ema_5", 3)) / (c + TINY),
-            "ema20_slope": (ema[20] - f.prev("ema_20", 5)) / (c + TINY),
-        }
-    )
+    yield {
+        "c_vs_ema5": (c - ema[5]) / (c + TINY),
+        "c_vs_ema20": (c - ema[20]) / (c + TINY),
+        "ema5_vs_ema20": (ema[5] - ema[20]) / (c + TINY),
+        "ema10_vs_ema50": (ema[10] - ema[50]) / (c + TINY),
+        "ema5_slope": (ema[5] - f.prev("ema_5", 3)) / (c + TINY),
+        "ema20_slope": (ema[20] - f.prev("ema_20", 5)) / (c + TINY),
+    }
 
 
-def _means(f: Framed) -> Framed:
+def _means(f: Framed) -> Layers:
     c = F.col("close")
-    return f.with_columns({f"sma_{n}": f.mean("close", n) for n in (5, 10, 20)}).with_columns(
-        {"c_vs_sma20": (c - F.col("sma_20")) / (c + TINY), "_std20": f.strict(F.stddev_samp, "close", 20)}
-    )
+    yield {f"sma_{n}": f.mean("close", n) for n in (5, 10, 20)}
+    yield {"c_vs_sma20": (c - F.col("sma_20")) / (c + TINY), "_std20": f.strict(F.stddev_samp, "close", 20)}
 
 
-def _bands(f: Framed) -> Framed:
+def _bands(f: Framed) -> Layers:
     upper, lower = F.col("sma_20") + 2 * F.col("_std20"), F.col("sma_20") - 2 * F.col("_std20")
-    f = f.with_columns(
-        {
-            "bb_upper": upper,
-            "bb_middle": F.col("sma_20"),
-            "bb_lower": lower,
-            "bb_width": (upper - lower) / (F.col("sma_20") + TINY),
-            "bb_pos": (F.col("close") - lower) / (upper - lower + TINY),
-        }
-    )
-    return f.with_columns({"bb_squeeze": flag(F.col("bb_width") < f.mean("bb_width", 20) * 0.8)})
+    yield {
+        "bb_upper": upper,
+        "bb_middle": F.col("sma_20"),
+        "bb_lower": lower,
+        "bb_width": (upper - lower) / (F.col("sma_20") + TINY),
+        "bb_pos": (F.col("close") - lower) / (upper - lower + TINY),
+    }
+    yield {"bb_squeeze": flag(F.col("bb_width") < f.mean("bb_width", 20) * 0.8)}
 
 
 def relative_strength(f: Framed, n: int) -> Column:
     return 100 - 100 / (1 + f.mean("_gain", n) / (f.mean("_loss", n) + TINY))
 
 
-def _rsi(f: Framed) -> Framed:
-    f = f.with_columns({f"rsi_{n}": relative_strength(f, n) for n in (7, 14, 21)})
-    return f.with_columns({"rsi_slope": F.col("rsi_14") - f.prev("rsi_14", 3)})
+def _rsi(f: Framed) -> Layers:
+    yield {f"rsi_{n}": relative_strength(f, n) for n in (7, 14, 21)}
+    yield {"rsi_slope": F.col("rsi_14") - f.prev("rsi_14", 3)}
 
 
-def _macd(f: Framed) -> Framed:
+def _macd(f: Framed) -> Layers:
     fast, slow, signal = MACD_SPANS
     first, second, smooth = (F.col(f"ema_{n}") for n in MACD_SPANS)
     mixed = chained_ema(first, fast, smooth, signal) - chained_ema(second, slow, smooth, signal)
     smoothed = F.when(F.col("rn") == 0, 0.0).otherwise(mixed)
-    f = f.with_columns(
-        {"macd": first - second, "macd_signal": smoothed, "macd_hist": first - second - smoothed}
-    )
-    return f.with_columns({"macd_hist_slope": F.col("macd_hist") - f.prev("macd_hist", 2)})
+    yield {"macd": first - second, "macd_signal": smoothed, "macd_hist": first - second - smoothed}
+    yield {"macd_hist_slope": F.col("macd_hist") - f.prev("macd_hist", 2)}
 
 
-def _stochastic(f: Framed) -> Framed:
+def _stochastic(f: Framed) -> Layers:
     c = F.col("close")
-    f = f.with_columns({"_hi14": f.strict(F.max, "high", 14), "_lo14": f.strict(F.min, "low", 14)})
+    yield {"_hi14": f.strict(F.max, "high", 14), "_lo14": f.strict(F.min, "low", 14)}
     width = F.col("_hi14") - F.col("_lo14") + TINY
-    f = f.with_columns(
-        {"stoch_k": 100 * (c - F.col("_lo14")) / width, "williams_r": -100 * (F.col("_hi14") - c) / width}
-    )
-    return f.with_columns({"stoch_d": f.mean("stoch_k", 3), "stoch_slope": F.col("stoch_k") - f.prev("stoch_k", 2)})
+    yield {"stoch_k": 100 * (c - F.col("_lo14")) / width, "williams_r": -100 * (F.col("_hi14") - c) / width}
+    yield {"stoch_d": f.mean("stoch_k", 3), "stoch_slope": F.col("stoch_k") - f.prev("stoch_k", 2)}
 
 
-def _channel(f: Framed) -> Framed:
-    return f.with_columns({"cci_20": (F.col("close") - F.col("sma_20")) / (0.015 * F.col("_std20") + TINY)})
+def _channel(f: Framed) -> Layers:
+    yield {"cci_20": (F.col("close") - F.col("sma_20")) / (0.015 * F.col("_std20") + TINY)}
 
 
-def _momentum(f: Framed) -> Framed:
+def _momentum(f: Framed) -> Layers:
     c = F.col("close")
-    return f.with_columns(
-        {
-            **{f"roc_{n}": (c / F.nullif(f.prev("close", n), F.lit(0.0)) - 1) * 100 for n in (3, 5, 10)},
-            **{f"dir_{n}bar": flag(c > f.prev("close", n)) for n in (5, 10, 20)},
-        }
-    )
+    yield {
+        **{f"roc_{n}": (c / F.nullif(f.prev("close", n), F.lit(0.0)) - 1) * 100 for n in (3, 5, 10)},
+        **{f"dir_{n}bar": flag(c > f.prev("close", n)) for n in (5, 10, 20)},
+    }
 
 
-def _true_range(f: Framed) -> Framed:
+def _true_range(f: Framed) -> Layers:
     h, l, before = F.col("high"), F.col("low"), f.prev("close")
-    f = f.with_columns({"true_range": F.greatest(h - l, F.abs(h - before), F.abs(l - before))})
-    return f.with_columns({"atr_14": f.mean("true_range", 14)})
+    yield {"true_range": F.greatest(h - l, F.abs(h - before), F.abs(l - before))}
+    yield {"atr_14": f.mean("true_range", 14)}
 
 
-def _volatility(f: Framed) -> Framed:
-    return f.with_columns(
-        {
-            "atr_pct": F.col("atr_14") / (F.col("close") + TINY),
-            "atr_regime": F.col("atr_14") / (f.mean("atr_14", 50) + TINY),
-            "regime_volatile": flag(F.col("atr_14") > f.mean("atr_14", 20) * 1.5),
-        }
-    )
+def _volatility(f: Framed) -> Layers:
+    yield {
+        "atr_pct": F.col("atr_14") / (F.col("close") + TINY),
+        "atr_regime": F.col("atr_14") / (f.mean("atr_14", 50) + TINY),
+        "regime_volatile": flag(F.col("atr_14") > f.mean("atr_14", 20) * 1.5),
+    }
 
 
-def _keltner(f: Framed) -> Framed:
+def _keltner(f: Framed) -> Layers:
     width = 2 * f.mean("true_range", 10)
-    return f.with_columns({"keltner_upper": F.col("ema_20") + width, "keltner_lower": F.col("ema_20") - width})
+    yield {"keltner_upper": F.col("ema_20") + width, "keltner_lower": F.col("ema_20") - width}
 
 
 def _directional(own: Column, other: Column) -> Column:
@@ -162,51 +146,45 @@ def _directional(own: Column, other: Column) -> Column:
     return F.when(mine < theirs, F.lit(0.0)).otherwise(mine)
 
 
-def _trend(f: Framed) -> Framed:
+def _trend(f: Framed) -> Layers:
     up, down = F.col("high") - f.prev("high"), f.prev("low") - F.col("low")
-    f = f.with_columns({"_plus": _directional(up, down), "_minus": _directional(down, up)})
-    f = f.with_columns(
-        {
-            "plus_di": 100 * f.mean("_plus", 14) / (F.col("atr_14") + TINY),
-            "minus_di": 100 * f.mean("_minus", 14) / (F.col("atr_14") + TINY),
-        }
-    )
+    yield {"_plus": _directional(up, down), "_minus": _directional(down, up)}
+    yield {
+        "plus_di": 100 * f.mean("_plus", 14) / (F.col("atr_14") + TINY),
+        "minus_di": 100 * f.mean("_minus", 14) / (F.col("atr_14") + TINY),
+    }
     difference, total = F.col("plus_di") - F.col("minus_di"), F.col("plus_di") + F.col("minus_di")
-    f = f.with_columns({"di_diff": difference, "_dx": 100 * F.abs(difference) / (total + TINY)})
-    f = f.with_columns({"adx_14": f.mean("_dx", 14)})
-    return f.with_columns({"regime_trend": flag(F.col("adx_14") > 25), "regime_range": flag(F.col("adx_14") < 20)})
+    yield {"di_diff": difference, "_dx": 100 * F.abs(difference) / (total + TINY)}
+    yield {"adx_14": f.mean("_dx", 14)}
+    yield {"regime_trend": flag(F.col("adx_14") > 25), "regime_range": flag(F.col("adx_14") < 20)}
 
 
-def _volume(f: Framed) -> Framed:
+def _volume(f: Framed) -> Layers:
     o, c, l, vol = F.col("open"), F.col("close"), F.col("low"), F.col("_vol")
-    f = f.with_columns({"_vol": F.coalesce(F.col("volume"), F.lit(1.0)) if "volume" in f.columns else F.lit(1.0)})
-    f = f.with_columns({"_usual": f.mean("_vol", 20) + TINY})
+    yield {"_vol": F.coalesce(F.col("volume"), F.lit(1.0)) if "volume" in f.columns else F.lit(1.0)}
+    yield {"_usual": f.mean("_vol", 20) + TINY}
     usual, spread = F.col("_usual"), F.col("high") - l + TINY
-    return f.with_columns(
-        {
-            "volume_ratio": vol / usual,
-            "volume_spike": flag(vol > usual * 2),
-            "_signed": F.signum("_delta") * vol,
-            "vwap": f.strict(F.sum, c * vol, 20) / (f.strict(F.sum, "_vol", 20) + TINY),
-            "vsa_high_vol_bull": flag((vol > usual * 1.5) & (c > o)),
-            "vsa_high_vol_bear": flag((vol > usual * 1.5) & (c < o)),
-            "vsa_low_vol_up": flag((vol < usual * 0.7) & (c > o)),
-            "vsa_low_vol_down": flag((vol < usual * 0.7) & (c < o)),
-            "vsa_spread_vs_vol": spread / (vol + TINY),
-            "delta_approx": ((c - l) / spread - 0.5) * vol,
-        }
-    )
+    yield {
+        "volume_ratio": vol / usual,
+        "volume_spike": flag(vol > usual * 2),
+        "_signed": F.signum("_delta") * vol,
+        "vwap": f.strict(F.sum, c * vol, 20) / (f.strict(F.sum, "_vol", 20) + TINY),
+        "vsa_high_vol_bull": flag((vol > usual * 1.5) & (c > o)),
+        "vsa_high_vol_bear": flag((vol > usual * 1.5) & (c < o)),
+        "vsa_low_vol_up": flag((vol < usual * 0.7) & (c > o)),
+        "vsa_low_vol_down": flag((vol < usual * 0.7) & (c < o)),
+        "vsa_spread_vs_vol": spread / (vol + TINY),
+        "delta_approx": ((c - l) / spread - 0.5) * vol,
+    }
 
 
-def _session(f: Framed) -> Framed:
+def _session(f: Framed) -> Layers:
     hour = F.hour("bar_start")
-    return f.with_columns(
-        {
-            "utc_hour": hour,
-            **{name: flag(within(hour, span)) for name, span in SESSIONS.items()},
-            "day_of_week": F.dayofweek("bar_start"),
-        }
-    )
+    yield {
+        "utc_hour": hour,
+        **{name: flag(within(hour, span)) for name, span in SESSIONS.items()},
+        "day_of_week": F.dayofweek("bar_start"),
+    }
 
 
 FAMILIES = {
@@ -229,9 +207,14 @@ FAMILIES = {
 }
 
 
-def _ordered(families: Sequence[str]) -> list[str]:
+def _waves(families: Sequence[str]) -> list[tuple[Callable[[Framed], Layers], ...]]:
+    """The wanted families and what they need, grouped so that each wave only builds on earlier ones."""
     wanted = {need for name in families for need in (*FAMILIES[name].needs, name)}
-    return [name for name in FAMILIES if name in wanted]
+    waves: dict[int, list[Callable[[Framed], Layers]]] = {}
+    for name in FAMILIES:
+        if name in wanted:
+            waves.setdefault(1 if FAMILIES[name].needs else 0, []).append(FAMILIES[name].add)
+    return [tuple(waves[depth]) for depth in sorted(waves)]
 
 
 def indicator_frame(
@@ -248,13 +231,12 @@ def indicator_frame(
     `lookback` restarts the exponential averages `ema_*` on the last so many bars, as an analysis
     over a bounded frame would; by default they run over the whole series.
     """
-    names = _ordered(families)
-    spans = sorted({span for name in names for span in FAMILIES[name].spans})
+    spans = sorted({span for name in families for span in FAMILIES[name].spans})
     averages = [Ema(f"ema_{n}", n) for n in spans]
     f = frame(bars, back=REACH + back + (lookback or 0), ahead=ahead, scans=(*averages, *scans), **blocks)
     if lookback:
         f = f.with_columns({f"ema_{n}": restarted(f, f"ema_{n}", "close", n, lookback) for n in spans})
-    return f.then(*[FAMILIES[name].add for name in names])
+    return f.then(*_waves(families))
 
 
 def with_obv(f: Framed) -> DataFrame:

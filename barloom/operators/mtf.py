@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from barloom.operators.bars import roll_up
 from barloom.operators.indicators import indicator_frame
 from barloom.operators.joins import asof_join
 from barloom.operators.scan import PriceFilter
-from barloom.operators.series import Framed, frame
+from barloom.operators.series import Framed, Layers, frame
 from barloom.session import cut_lineage
 
 TINY = 1e-10
@@ -25,26 +27,22 @@ def timeframe_bias(bars: DataFrame, tolerance: float = 0.02, min_rows: int = 10,
     """Bias and strength of each bar of each timeframe, from two averages and the slope of the faster."""
     f = indicator_frame(bars, ["averages"], **blocks)
     c, fast, slow = F.col("close"), F.col("ema_20"), F.col("ema_50")
-    f = f.with_columns(
-        {
-            "_slope": (fast - f.prev("ema_20", 3)) / (c + TINY),
-            "_top": f.over(F.max("high"), 20),
-            "_low": f.over(F.min("low"), 20),
-        }
-    )
+    yield {
+        "_slope": (fast - f.prev("ema_20", 3)) / (c + TINY),
+        "_top": f.over(F.max("high"), 20),
+        "_low": f.over(F.min("low"), 20),
+    }
     bull, bear = (fast > slow) & (F.col("_slope") > 0), (fast < slow) & (F.col("_slope") < 0)
     base = F.when(bull | bear, F.least(F.abs("_slope") * 1000 + 0.5, F.lit(1.0))).otherwise(0.3)
     breaks_up, breaks_down = c > F.col("_top") * (1 - tolerance), c < F.col("_low") * (1 + tolerance)
     confirmed = (bull & breaks_up) | (bear & breaks_down)
     known = F.col("rn") >= min_rows - 1
-    return f.with_columns(
-        {
-            "bias": F.when(known & bull, "bull").when(known & bear, "bear").otherwise("neutral"),
-            "strength": F.when(~known, 0.0).when(confirmed, F.least(base + 0.2, F.lit(1.0))).otherwise(base),
-            "bos_bull": breaks_up,
-            "bos_bear": breaks_down,
-        }
-    ).core("key", "tf_sec", "bar_start", "close", "bias", "strength", "bos_bull", "bos_bear")
+    yield {
+        "bias": F.when(known & bull, "bull").when(known & bear, "bear").otherwise("neutral"),
+        "strength": F.when(~known, 0.0).when(confirmed, F.least(base + 0.2, F.lit(1.0))).otherwise(base),
+        "bos_bull": breaks_up,
+        "bos_bear": breaks_down,
+    }.core("key", "tf_sec", "bar_start", "close", "bias", "strength", "bos_bull", "bos_bear")
 
 
 def kill_zone(hour: Column) -> Column:
@@ -92,28 +90,24 @@ def mtf_points(direction: Column) -> Column:
     return total
 
 
-def regime(f: Framed) -> Framed:
+def regime(f: Framed) -> Layers:
     """Trend, volatile or range, from a directional index on one common yardstick and a range ratio."""
     up, down = F.col("high") - f.prev("high"), f.prev("low") - F.col("low")
     plus, minus = (F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)) for x in (up, down))
-    f = f.with_columns(
-        {
-            "_hl": F.col("high") - F.col("low"),
-            "_rp": F.when(plus < minus, 0.0).otherwise(plus),
-            "_rm": F.when(minus < plus, 0.0).otherwise(minus),
-        }
-    )
-    f = f.with_columns(
-        {
-            "_y14": f.mean("_hl", 14),
-            "_y50": F.coalesce(f.mean("_hl", 50), f.mean("_hl", 14)),
-            "_p14": f.mean("_rp", 14),
-            "_m14": f.mean("_rm", 14),
-        }
-    )
+    yield {
+        "_hl": F.col("high") - F.col("low"),
+        "_rp": F.when(plus < minus, 0.0).otherwise(plus),
+        "_rm": F.when(minus < plus, 0.0).otherwise(minus),
+    }
+    yield {
+        "_y14": f.mean("_hl", 14),
+        "_y50": F.coalesce(f.mean("_hl", 50), f.mean("_hl", 14)),
+        "_p14": f.mean("_rp", 14),
+        "_m14": f.mean("_rm", 14),
+    }
     # The yardstick of the reading bar scales both sides of every index value alike and cancels out.
-    f = f.with_columns({"_rdx": 100 * F.abs(F.col("_p14") - F.col("_m14")) / (F.col("_p14") + F.col("_m14") + TINY)})
-    f = f.with_columns({"regime_adx": f.mean("_rdx", 14), "atr_ratio": F.col("_y14") / (F.col("_y50") + TINY)})
+    yield {"_rdx": 100 * F.abs(F.col("_p14") - F.col("_m14")) / (F.col("_p14") + F.col("_m14") + TINY)}
+    yield {"regime_adx": f.mean("_rdx", 14), "atr_ratio": F.col("_y14") / (F.col("_y50") + TINY)}
     adx, ratio, known = F.col("regime_adx"), F.col("atr_ratio"), F.col("rn") >= 19
     trend, volatile = (adx > 25) & (ratio < 1.5), ratio > 1.8
     value = (
@@ -121,12 +115,10 @@ def regime(f: Framed) -> Framed:
         .when(volatile, F.least(ratio / 3, F.lit(1.0)))
         .otherwise(1 - F.least(adx / 30, F.lit(1.0)))
     )
-    return f.with_columns(
-        {
-            "regime": F.when(~known, "unknown").when(trend, "trend").when(volatile, "volatile").otherwise("range"),
-            "regime_score": F.when(known, value).otherwise(0.5),
-        }
-    )
+    yield {
+        "regime": F.when(~known, "unknown").when(trend, "trend").when(volatile, "volatile").otherwise("range"),
+        "regime_score": F.when(known, value).otherwise(0.5),
+    }
 
 
 # Weight boost per voter in each regime.
@@ -139,16 +131,16 @@ REGIME_BOOSTS = {
 }
 
 
-def voting_regime(f: Framed) -> Framed:
+def voting_regime(f: Framed) -> Layers:
     """Trending, volatile, ranging or quiet; needs `adx_14` in the frame."""
-    f = f.with_columns({"_hl": F.col("high") - F.col("low")})
-    f = f.with_columns({"_y14": f.mean("_hl", 14)})
+    yield {"_hl": F.col("high") - F.col("low")}
+    yield {"_y14": f.mean("_hl", 14)}
     adx = F.coalesce(F.col("adx_14"), F.lit(0.0))
     ratio = F.when(F.col("rn") >= 14, F.col("_hl") / F.greatest(F.col("_y14"), F.lit(TINY))).otherwise(1.0)
     name = (
         F.when(adx >= 30, "trending").when(ratio > 2.5, "volatile").when(adx < 20, "ranging").otherwise("quiet")
     )
-    return f.with_columns({"vote_regime": name, "vote_atr_ratio": F.round(ratio, 2)})
+    yield {"vote_regime": name, "vote_atr_ratio": F.round(ratio, 2)}
 
 
 def boost_table(spark) -> DataFrame:
@@ -157,29 +149,28 @@ def boost_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "vote_regime string, agent string, boost double")
 
 
-def range_spike(f: Framed, min_rows: int = 21) -> Framed:
+def range_spike(f: Framed, min_rows: int = 21) -> Layers:
     """Bar range against the mean range of the 14 bars before it, and the confidence factor of a spike."""
-    f = f.with_columns({"_hl": F.col("high") - F.col("low")})
-    f = f.with_columns({"_y14": f.mean("_hl", 14)})
+    yield {"_hl": F.col("high") - F.col("low")}
+    yield {"_y14": f.mean("_hl", 14)}
     before = f.prev("_y14")
-    f = f.with_columns({"spike_ratio": F.when((F.col("rn") >= min_rows - 1) & (before > 0), F.col("_hl") / (before + TINY))})
+    yield {"spike_ratio": F.when((F.col("rn") >= min_rows - 1) & (before > 0), F.col("_hl") / (before + TINY))}
     factor = F.when(F.col("spike_ratio") > 3, 0.65).when(F.col("spike_ratio") > 2, 0.80).otherwise(1.0)
-    return f.with_columns({"spike_factor": factor})
+    yield {"spike_factor": factor}
 
 
 def price_filter(bars: DataFrame, threshold: float = 1e-6, scan: PriceFilter = PriceFilter(), **blocks) -> Framed:
     """Filtered price, gain, deviation, velocity over two bars and its sign."""
-    return with_filter_trend(frame(bars, back=4, scans=[scan], **blocks), threshold, scan)
+    trend = partial(with_filter_trend, threshold=threshold, scan=scan)
+    return frame(bars, back=4, scans=[scan], **blocks).then(trend)
 
 
-def with_filter_trend(f: Framed, threshold: float = 1e-6, scan: PriceFilter = PriceFilter()) -> Framed:
+def with_filter_trend(f: Framed, threshold: float = 1e-6, scan: PriceFilter = PriceFilter()) -> Layers:
     price = F.col(scan.name)
-    f = f.with_columns({"kalman_velocity": F.coalesce(price - f.prev(price, 2), F.lit(0.0))})
+    yield {"kalman_velocity": F.coalesce(price - f.prev(price, 2), F.lit(0.0))}
     v = F.col("kalman_velocity")
-    return f.with_columns(
-        {
-            "kalman_gain": scan.gain(F.col("rn")),
-            "kalman_deviation": F.col(scan.source) - price,
-            "kalman_trend": F.when(v > threshold, 1).when(v < -threshold, -1).otherwise(0),
-        }
-    )
+    yield {
+        "kalman_gain": scan.gain(F.col("rn")),
+        "kalman_deviation": F.col(scan.source) - price,
+        "kalman_trend": F.when(v > threshold, 1).when(v < -threshold, -1).otherwise(0),
+    }

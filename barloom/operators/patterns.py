@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.sessions import flag, within
-from barloom.operators.series import Framed
+from barloom.operators.series import Framed, Layers
 from barloom.operators.structure import LOOKBACK, TINY, mean_spread, recent_events
 
 
@@ -34,24 +34,23 @@ INSTITUTIONAL = (
 ).split()
 
 
-def institutional(f: Framed, min_rows: int = 20) -> Framed:
+def institutional(f: Framed, min_rows: int = 20) -> Layers:
     """Sweeps, large bodies, session traps, range expansion and RSI divergence. Needs `rsi_14` in the frame."""
     o, h, l, c = _ohlc()
     hour, four_back = F.hour("bar_start"), f.prev("close", 4)
-    f = f.with_columns(
-        {
-            "_hl": h - l,
-            "_top19": F.max("high").over(f.rows(-19, -1)),
-            "_low19": F.min("low").over(f.rows(-19, -1)),
-            "_range5": f.over(F.max("high"), 5) - f.over(F.min("low"), 5),
-            "_range20": f.over(F.max("high"), 20) - f.over(F.min("low"), 20),
-            "_low9": F.min("low").over(f.rows(-9, -1)),
-            "_top9": F.max("high").over(f.rows(-9, -1)),
-            "_rsi_low9": F.min("rsi_14").over(f.rows(-9, -1)),
-            "_rsi_top9": F.max("rsi_14").over(f.rows(-9, -1)),
-            "_c4": four_back,
-        }
-    ).then(lambda x: x.with_columns({"_mean14": x.mean("_hl", 14)}))
+    yield {
+        "_hl": h - l,
+        "_top19": F.max("high").over(f.rows(-19, -1)),
+        "_low19": F.min("low").over(f.rows(-19, -1)),
+        "_range5": f.over(F.max("high"), 5) - f.over(F.min("low"), 5),
+        "_range20": f.over(F.max("high"), 20) - f.over(F.min("low"), 20),
+        "_low9": F.min("low").over(f.rows(-9, -1)),
+        "_top9": F.max("high").over(f.rows(-9, -1)),
+        "_rsi_low9": F.min("rsi_14").over(f.rows(-9, -1)),
+        "_rsi_top9": F.max("rsi_14").over(f.rows(-9, -1)),
+        "_c4": four_back,
+    }
+    yield {"_mean14": f.mean("_hl", 14)}
     body, yard = F.abs(c - o), F.col("_mean14")
     high_swept = (h > F.col("_top19")) & (c < F.col("_top19"))
     low_swept = (l < F.col("_low19")) & (c > F.col("_low19"))
@@ -78,13 +77,11 @@ def institutional(f: Framed, min_rows: int = 20) -> Framed:
         "po3_distribution": within(hour, (12, 20)),
     }
     known = F.col("rn") >= min_rows - 1
-    f = f.with_columns({name: flag(known & found) for name, found in findings.items()})
-    return f.with_columns(
-        {
-            f"inst_{side}_score": reduce(lambda a, b: a + b, [F.col(t[i]) * t[2] for t in INSTITUTIONAL_TERMS])
-            for i, side in enumerate(("bull", "bear"))
-        }
-    )
+    yield {name: flag(known & found) for name, found in findings.items()}
+    yield {
+        f"inst_{side}_score": reduce(lambda a, b: a + b, [F.col(t[i]) * t[2] for t in INSTITUTIONAL_TERMS])
+        for i, side in enumerate(("bull", "bear"))
+    }
 
 
 def session_ranges(bars: DataFrame, hours: tuple[int, int] = (0, 6)) -> DataFrame:
@@ -101,24 +98,21 @@ WYCKOFF = tuple(
 )
 
 
-def wyckoff(f: Framed, range_mode: str = "prior", min_rows: int = 50) -> Framed:
+def wyckoff(f: Framed, range_mode: str = "prior", min_rows: int = 50) -> Layers:
     """Ten phase flags against a 50-bar range; `prior` leaves the tested bar out of its own range."""
     _, h, l, c = _ohlc()
     span = f.rows(-50, -1) if range_mode == "prior" else f.rows(-49)
     volume = F.coalesce(F.col("volume"), F.lit(1.0)) if "volume" in f.columns else F.lit(1.0)
-    f = f.with_columns({"_hl": h - l, "_wvol": volume}).then(
-        lambda x: x.with_columns(
-            {
-                "_wtop": F.max("high").over(span),
-                "_wlow": F.min("low").over(span),
-                "_wvol20": x.mean("_wvol", 20),
-                "_whl20": x.mean("_hl", 20),
-                "_c1": x.prev("close", 1),
-                "_c2": x.prev("close", 2),
-                "_c4": x.prev("close", 4),
-            }
-        )
-    )
+    yield {"_hl": h - l, "_wvol": volume}
+    yield {
+        "_wtop": F.max("high").over(span),
+        "_wlow": F.min("low").over(span),
+        "_wvol20": f.mean("_wvol", 20),
+        "_whl20": f.mean("_hl", 20),
+        "_c1": f.prev("close", 1),
+        "_c2": f.prev("close", 2),
+        "_c4": f.prev("close", 4),
+    }
     top, low = F.col("_wtop"), F.col("_wlow")
     width = top - low + TINY
     narrow = width < F.col("_whl20") * 0.5
@@ -135,100 +129,88 @@ def wyckoff(f: Framed, range_mode: str = "prior", min_rows: int = 50) -> Framed:
         "ar": (c > F.col("_c2")) & (c < low + width * 0.4),
     }
     known = F.col("rn") >= min_rows - 1
-    return f.with_columns({f"wyckoff_{name}": flag(known & found) for name, found in findings.items()})
+    yield {f"wyckoff_{name}": flag(known & found) for name, found in findings.items()}
 
 
 ELLIOTT = "elliott_impulse_bull elliott_impulse_bear elliott_correction elliott_wave_ratio elliott_wave_count".split()
 
 
-def elliott(f: Framed, n: int = 3, lookback: int = LOOKBACK, min_rows: int = 30) -> Framed:
+def elliott(f: Framed, n: int = 3, lookback: int = LOOKBACK, min_rows: int = 30) -> Layers:
     """Legs between the last five close pivots, and the number of pivots in the look-back modulo 5."""
     span = f.rows(-2 * n)
     middle, whole = f.prev("close", n), F.count("close").over(span) == 2 * n + 1
     extreme = (middle == F.max("close").over(span)) | (middle == F.min("close").over(span))
-    f = f.with_columns({"_pivot": F.when(whole & extreme, middle)})
+    yield {"_pivot": F.when(whole & extreme, middle)}
     event = F.when(F.col("_pivot").isNotNull(), F.struct((F.col("rn") - n).alias("at"), F.col("_pivot").alias("p")))
-    f = recent_events(f, event, "_pivots", 5)
+    yield from recent_events(f, event, "_pivots", 5)
     running = F.count("_pivot").over(f.order.rowsBetween(Window.unboundedPreceding, 0))
-    f = f.with_columns({"_seen": running})
+    yield {"_seen": running}
     # Pivots confirmed by the bar that left the look-back no longer count.
-    f = f.with_columns({"_count": F.col("_seen") - F.coalesce(f.prev("_seen", lookback - 2 * n), F.lit(0))})
+    yield {"_count": F.col("_seen") - F.coalesce(f.prev("_seen", lookback - 2 * n), F.lit(0))}
     p = [F.try_element_at("_pivots", F.lit(i))["p"] for i in range(5, 0, -1)]
     oldest = F.try_element_at("_pivots", F.lit(5))["at"]
     w1, w2, w3 = p[1] - p[0], p[2] - p[1], p[3] - p[2]
     known = (F.col("rn") >= min_rows - 1) & (oldest >= F.col("rn") - (lookback - 1 - n))
     longer = F.abs(w3) > F.abs(w1)
-    return f.with_columns(
-        {
-            "elliott_impulse_bull": flag(known & (w1 > 0) & (w2 < 0) & (w3 > 0) & longer),
-            "elliott_impulse_bear": flag(known & (w1 < 0) & (w2 > 0) & (w3 < 0) & longer),
-            "elliott_correction": flag(known & (w1 != 0) & (w2 != 0) & (F.abs(w3) < F.abs(w1))),
-            "elliott_wave_ratio": F.when(known, F.least(F.abs(w3) / (F.abs(w1) + TINY), F.lit(5.0))).otherwise(0.0),
-            "elliott_wave_count": F.when(known, (F.col("_count") % 5).cast("int")).otherwise(0),
-        }
-    )
+    yield {
+        "elliott_impulse_bull": flag(known & (w1 > 0) & (w2 < 0) & (w3 > 0) & longer),
+        "elliott_impulse_bear": flag(known & (w1 < 0) & (w2 > 0) & (w3 < 0) & longer),
+        "elliott_correction": flag(known & (w1 != 0) & (w2 != 0) & (F.abs(w3) < F.abs(w1))),
+        "elliott_wave_ratio": F.when(known, F.least(F.abs(w3) / (F.abs(w1) + TINY), F.lit(5.0))).otherwise(0.0),
+        "elliott_wave_count": F.when(known, (F.col("_count") % 5).cast("int")).otherwise(0),
+    }
 
 
 SUPPLY_DEMAND = "sd_demand_zone sd_supply_zone sd_at_demand sd_at_supply sd_zone_strength sd_zone_fresh".split()
 
 
-def supply_demand(f: Framed, min_rows: int = 20) -> Framed:
+def supply_demand(f: Framed, min_rows: int = 20) -> Layers:
     """Sharp drops and rallies over 30 bars, position in the 20-bar range, strength and freshness."""
     o, h, l, c = _ohlc()
-    f = f.with_columns(
-        {
-            "_hl": h - l,
-            "_move": c - o,
-            "_absmove": F.abs(c - o),
-            "_low20": f.over(F.min("low"), 20),
-            "_top20": f.over(F.max("high"), 20),
-            "_low5": f.over(F.min("low"), 5),
-        }
-    ).then(
-        lambda x: x.with_columns(
-            {
-                "_mean10": x.mean("_hl", 10),
-                "_moves": F.collect_list("_move").over(x.rows(-29)),
-                "_dep": x.over(F.avg("_absmove"), 5),
-            }
-        )
-    )
+    yield {
+        "_hl": h - l,
+        "_move": c - o,
+        "_absmove": F.abs(c - o),
+        "_low20": f.over(F.min("low"), 20),
+        "_top20": f.over(F.max("high"), 20),
+        "_low5": f.over(F.min("low"), 5),
+    }
+    yield {
+        "_mean10": f.mean("_hl", 10),
+        "_moves": F.collect_list("_move").over(f.rows(-29)),
+        "_dep": f.over(F.avg("_absmove"), 5),
+    }
     usual = F.col("_mean10")
-    f = f.with_columns(
-        {
-            "_drops": F.size(F.filter("_moves", lambda m: m / usual < -1.5)),
-            "_rallies": F.size(F.filter("_moves", lambda m: m / usual > 1.5)),
-        }
-    )
+    yield {
+        "_drops": F.size(F.filter("_moves", lambda m: m / usual < -1.5)),
+        "_rallies": F.size(F.filter("_moves", lambda m: m / usual > 1.5)),
+    }
     width = F.col("_top20") - F.col("_low20")
     known = F.col("rn") >= min_rows - 1
-    return f.with_columns(
-        {
-            "sd_demand_zone": flag(known & (F.col("_drops") > 0) & (F.col("_rallies") > F.col("_drops"))),
-            "sd_supply_zone": flag(known & (F.col("_rallies") > 0) & (F.col("_drops") > F.col("_rallies"))),
-            "sd_at_demand": flag(known & (c < F.col("_low20") + width * 0.25)),
-            "sd_at_supply": flag(known & (c > F.col("_top20") - width * 0.25)),
-            "sd_zone_strength": F.when(known, F.least(F.col("_dep") / (usual + TINY) * 5, F.lit(10.0))).otherwise(0.0),
-            "sd_zone_fresh": flag(known & (F.col("_low5") >= F.col("_low20") * 1.001)),
-        }
-    )
+    yield {
+        "sd_demand_zone": flag(known & (F.col("_drops") > 0) & (F.col("_rallies") > F.col("_drops"))),
+        "sd_supply_zone": flag(known & (F.col("_rallies") > 0) & (F.col("_drops") > F.col("_rallies"))),
+        "sd_at_demand": flag(known & (c < F.col("_low20") + width * 0.25)),
+        "sd_at_supply": flag(known & (c > F.col("_top20") - width * 0.25)),
+        "sd_zone_strength": F.when(known, F.least(F.col("_dep") / (usual + TINY) * 5, F.lit(10.0))).otherwise(0.0),
+        "sd_zone_fresh": flag(known & (F.col("_low5") >= F.col("_low20") * 1.001)),
+    }
 
 
 CHART = tuple(f"chart_{x}" for x in "double_top double_bottom bull_flag bear_flag consolidation".split())
 
 
-def chart_patterns(f: Framed, min_rows: int = 20) -> Framed:
+def chart_patterns(f: Framed, min_rows: int = 20) -> Layers:
     """Double tops and bottoms, flags, and tight consolidation."""
     c = F.col("close")
-    f = mean_spread(f).with_columns(
-        {
-            **{f"_{x[0]}{n}": f.prev(x, n) for x in ("high", "low") for n in (4, 9)},
-            "_c9": f.prev("close", 9),
-            "_c14": f.prev("close", 14),
-            "_range5": f.over(F.max("high"), 5) - f.over(F.min("low"), 5),
-            "_range20": f.over(F.max("high"), 20) - f.over(F.min("low"), 20),
-        }
-    )
+    yield from mean_spread(f)
+    yield {
+        **{f"_{x[0]}{n}": f.prev(x, n) for x in ("high", "low") for n in (4, 9)},
+        "_c9": f.prev("close", 9),
+        "_c14": f.prev("close", 14),
+        "_range5": f.over(F.max("high"), 5) - f.over(F.min("low"), 5),
+        "_range20": f.over(F.max("high"), 20) - f.over(F.min("low"), 20),
+    }
     yard = F.col("_atr")
     up, pull = F.col("_c9") - F.col("_c14"), c - F.col("_c9")
     tops, bottoms = (F.col("_h4"), F.col("_h9")), (F.col("_l4"), F.col("_l9"))
@@ -240,7 +222,7 @@ def chart_patterns(f: Framed, min_rows: int = 20) -> Framed:
         "consolidation": (F.col("_range20") > 0) & (F.col("_range5") < F.col("_range20") * 0.25),
     }
     known = F.col("rn") >= min_rows - 1
-    return f.with_columns({f"chart_{name}": flag(known & found) for name, found in findings.items()})
+    yield {f"chart_{name}": flag(known & found) for name, found in findings.items()}
 
 
 # Retracement ranges AB/XA, BC/AB, CD/BC of the harmonic families, and their tolerance.
@@ -254,26 +236,24 @@ HARMONIC_TOLERANCE = 0.06
 HARMONIC_NAMES = tuple(f"{family}_{side}" for family in HARMONICS for side in ("bull", "bear"))
 
 
-def harmonics(f: Framed, n: int = 3, lookback: int = LOOKBACK, min_rows: int = 30) -> Framed:
+def harmonics(f: Framed, n: int = 3, lookback: int = LOOKBACK, min_rows: int = 30) -> Layers:
     """Five-point harmonic patterns over the last five pivots (a high outranks a low of the same bar)."""
     span = f.rows(-2 * n)
     high, low = f.prev("high", n), f.prev("low", n)
     whole = F.count("high").over(span) == 2 * n + 1
     price = F.when(high == F.max("high").over(span), high).when(low == F.min("low").over(span), low)
-    f = f.with_columns({"_hp": F.when(whole, price)})
+    yield {"_hp": F.when(whole, price)}
     event = F.when(F.col("_hp").isNotNull(), F.struct((F.col("rn") - n).alias("at"), F.col("_hp").alias("p")))
-    f = recent_events(f, event, "_hps", 5)
+    yield from recent_events(f, event, "_hps", 5)
     x, a, b, c, d = (F.try_element_at("_hps", F.lit(i))["p"] for i in range(5, 0, -1))
     oldest = F.try_element_at("_hps", F.lit(5))["at"]
     xa, ab, bc, cd = F.abs(a - x), F.abs(b - a), F.abs(c - b), F.abs(d - c)
-    f = f.with_columns(
-        {
-            "_r1": ab / (xa + TINY),
-            "_r2": bc / (ab + TINY),
-            "_r3": cd / (bc + TINY),
-            "_turn": F.when((F.col("rn") >= min_rows - 1) & (oldest >= F.col("rn") - (lookback - 1 - n)) & (xa >= TINY), F.signum(d - c)),
-        }
-    )
+    yield {
+        "_r1": ab / (xa + TINY),
+        "_r2": bc / (ab + TINY),
+        "_r3": cd / (bc + TINY),
+        "_turn": F.when((F.col("rn") >= min_rows - 1) & (oldest >= F.col("rn") - (lookback - 1 - n)) & (xa >= TINY), F.signum(d - c)),
+    }
     found = {}
     for family, limits in HARMONICS.items():
         fits = reduce(
@@ -285,7 +265,7 @@ def harmonics(f: Framed, n: int = 3, lookback: int = LOOKBACK, min_rows: int = 3
         )
         found[f"{family}_bull"] = flag(fits & (F.col("_turn") < 0))
         found[f"{family}_bear"] = flag(fits & (F.col("_turn") > 0))
-    return f.with_columns(found)
+    yield (found)
 
 
 def harmonic_boost(direction: Column, amount: float = 0.05) -> Column:
@@ -309,7 +289,7 @@ REACTION_DEFAULTS = {"bull_score": 50.0, "bear_score": 50.0, "atr_score": 50.0,
 
 def candle_reaction(
     f: Framed, engulf: str = "body", size: str = "true_range", zones: bool = True, min_rows: int = 3
-) -> Framed:
+) -> Layers:
     """Seven-part candle reaction per side.
 
     `engulf` compares with the previous body or the whole previous range, `size` measures the bar
@@ -317,19 +297,18 @@ def candle_reaction(
     """
     o, h, l, c = _ohlc()
     before = f.prev("close")
-    f = f.with_columns(
-        {
-            "_po": f.prev("open"),
-            "_pc": before,
-            "_ph": f.prev("high"),
-            "_pl": f.prev("low"),
-            "_rng": F.greatest(h - l, F.lit(TINY)),
-            "_body": F.abs(c - o),
-            "_tr": F.when(before.isNotNull(), F.greatest(h - l, F.abs(h - before), F.abs(l - before)))
-            if size == "true_range"
-            else h - l,
-        }
-    ).then(lambda x: x.with_columns({"_rtr": x.over(F.avg("_tr"), 14)}))
+    yield {
+        "_po": f.prev("open"),
+        "_pc": before,
+        "_ph": f.prev("high"),
+        "_pl": f.prev("low"),
+        "_rng": F.greatest(h - l, F.lit(TINY)),
+        "_body": F.abs(c - o),
+        "_tr": F.when(before.isNotNull(), F.greatest(h - l, F.abs(h - before), F.abs(l - before)))
+        if size == "true_range"
+        else h - l,
+    }
+    yield {"_rtr": f.over(F.avg("_tr"), 14)}
     rng, body, po, pc = F.col("_rng"), F.col("_body"), F.col("_po"), F.col("_pc")
     pos = (c - l) / rng
     lower, upper = F.least(o, c) - l, h - F.greatest(o, c)
@@ -350,18 +329,16 @@ def candle_reaction(
         bear_zone = ~bull_zone & at_bear & (c < middle)
     else:
         bull_zone = bear_zone = F.lit(False)
-    f = f.with_columns(
-        {
-            "pin_bull": flag((lower >= body * 2) & (body <= rng * 0.25)),
-            "pin_bear": flag((upper >= body * 2) & (body <= rng * 0.25)),
-            "bull_engulf": flag(bull_engulf),
-            "bear_engulf": flag(bear_engulf),
-            "atr_score": F.least(rng / (F.col("_rtr") + TINY) * 70, F.lit(100.0)),
-            "close_pos": pos,
-            "close_upper_third": flag(pos > 0.67),
-            "close_lower_third": flag(pos < 0.33),
-        }
-    )
+    yield {
+        "pin_bull": flag((lower >= body * 2) & (body <= rng * 0.25)),
+        "pin_bear": flag((upper >= body * 2) & (body <= rng * 0.25)),
+        "bull_engulf": flag(bull_engulf),
+        "bear_engulf": flag(bear_engulf),
+        "atr_score": F.least(rng / (F.col("_rtr") + TINY) * 70, F.lit(100.0)),
+        "close_pos": pos,
+        "close_upper_third": flag(pos > 0.67),
+        "close_lower_third": flag(pos < 0.33),
+    }
 
     def side(wick: Column, pin: str, place: Column, moved: Column, engulfed: str, zone: Column) -> Column:
         parts = (
@@ -375,25 +352,19 @@ def candle_reaction(
         )
         return reduce(lambda a, b: a + b, [part * weight for part, weight in zip(parts, REACTION_WEIGHTS)])
 
-    f = f.with_columns(
-        {
-            "bull_score": side(lower, "pin_bull", pos, (c > pc) & (c > o), "bull_engulf", bull_zone),
-            "bear_score": side(upper, "pin_bear", 1 - pos, (c < pc) & (c < o), "bear_engulf", bear_zone),
-        }
-    )
+    yield {
+        "bull_score": side(lower, "pin_bull", pos, (c > pc) & (c > o), "bull_engulf", bull_zone),
+        "bear_score": side(upper, "pin_bear", 1 - pos, (c < pc) & (c < o), "bear_engulf", bear_zone),
+    }
     net = F.col("bull_score") - F.col("bear_score")
-    f = f.with_columns(
-        {
-            "net_score": net,
-            "signal_boost": net / 100 * 0.12,
-            "pin_bar": F.greatest("pin_bull", "pin_bear"),
-            "engulfing": F.greatest("bull_engulf", "bear_engulf"),
-        }
-    )
+    yield {
+        "net_score": net,
+        "signal_boost": net / 100 * 0.12,
+        "pin_bar": F.greatest("pin_bull", "pin_bear"),
+        "engulfing": F.greatest("bull_engulf", "bear_engulf"),
+    }
     known = F.col("rn") >= min_rows - 1
-    return f.with_columns(
-        {name: F.when(known, F.col(name)).otherwise(REACTION_DEFAULTS.get(name, 0)) for name in REACTION}
-    )
+    yield {name: F.when(known, F.col(name)).otherwise(REACTION_DEFAULTS.get(name, 0)) for name in REACTION}
 
 
 def wick_geometry(df: DataFrame) -> DataFrame:
@@ -424,11 +395,11 @@ CANDLESTICKS = (
 ).split()
 
 
-def candlesticks(f: Framed) -> Framed:
+def candlesticks(f: Framed) -> Layers:
     """Eighteen candlestick patterns over the last one to three bars."""
-    f = f.with_columns({"_hl": F.col("high") - F.col("low")})
+    yield {"_hl": F.col("high") - F.col("low")}
     past = {f"_{x[0]}{n}": f.prev(x, n) for x in ("open", "high", "low", "close") for n in (1, 2)}
-    f = f.with_columns({**past, "_yard": f.over(F.avg("_hl"), 14)})
+    yield {**past, "_yard": f.over(F.avg("_hl"), 14)}
     o, h, l, c = _ohlc()
     o1, h1, l1, c1 = (F.col(f"_{x}1") for x in "ohlc")
     o2, c2 = F.col("_o2"), F.col("_c2")
@@ -463,4 +434,4 @@ def candlesticks(f: Framed) -> Framed:
         "marubozu_bear": red & full,
     }
     known = F.col("rn") >= 2
-    return f.with_columns({name: flag(known & condition) for name, condition in found.items()})
+    yield {name: flag(known & condition) for name, condition in found.items()}

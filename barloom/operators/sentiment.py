@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators.joins import asof_join, trailing_range
-from barloom.operators.series import Framed, frame, number_rows, time_block
+from barloom.operators.series import Framed, Layers, frame, number_rows, time_block
 
 TINY = 1e-10
 SYNTHETIC = (
@@ -14,7 +14,7 @@ SYNTHETIC = (
 ).split()
 
 
-def synthetic_sentiment(f: Framed, lookback: int = 30, min_rows: int = 10) -> Framed:
+def synthetic_sentiment(f: Framed, lookback: int = 30, min_rows: int = 10) -> Layers:
     """Buyer and seller pressure, exhaustion and RSI divergence of the last bars.
 
     Needs `_gain` and `_loss` (the `moves` indicator family) in the frame.
@@ -22,52 +22,46 @@ def synthetic_sentiment(f: Framed, lookback: int = 30, min_rows: int = 10) -> Fr
     o, h, l, c = (F.col(x) for x in ("open", "high", "low", "close"))
     up, span = c > o, F.greatest(h - l, F.lit(TINY))
     gain, loss = f.mean("_gain", 14), f.mean("_loss", 14)
-    f = f.with_columns(
-        {
-            "_sbody": F.abs(c - o),
-            "_signed_body": F.when(up, F.abs(c - o)).otherwise(-F.abs(c - o)),
-            "_uw": (h - F.greatest(o, c)) / span,
-            "_lw": (F.least(o, c) - l) / span,
-            "_up_range": F.when(up, span),
-            "_dn_range": F.when(~up, span),
-            "_srsi": 100 - 100 / (1 + F.when(loss > 0, gain / (loss + TINY)).otherwise(0.0)),
-        }
-    )
+    yield {
+        "_sbody": F.abs(c - o),
+        "_signed_body": F.when(up, F.abs(c - o)).otherwise(-F.abs(c - o)),
+        "_uw": (h - F.greatest(o, c)) / span,
+        "_lw": (F.least(o, c) - l) / span,
+        "_up_range": F.when(up, span),
+        "_dn_range": F.when(~up, span),
+        "_srsi": 100 - 100 / (1 + F.when(loss > 0, gain / (loss + TINY)).otherwise(0.0)),
+    }
     weights = F.array(*[F.lit(0.5 + 0.5 * i / 9) for i in range(10)])
 
     def weighted(name: str) -> Column:
         terms = F.zip_with(F.collect_list(name).over(f.rows(-9)), weights, lambda x, k: x * k)
         return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 7.5
 
-    f = f.with_columns(
-        {
-            "_seller": weighted("_uw"),
-            "_buyer": weighted("_lw"),
-            "_up_mean": f.over(F.avg("_up_range"), lookback),
-            "_dn_mean": f.over(F.avg("_dn_range"), lookback),
-            "_net_body": f.over(F.sum("_signed_body"), lookback),
-            "_all_body": f.over(F.sum("_sbody"), lookback),
-            "_body_then": F.avg("_sbody").over(f.rows(-5, -3)),
-            "_body_now": F.avg("_sbody").over(f.rows(-2)),
-            "_p14": F.collect_list("close").over(f.rows(-13)),
-            "_r14": F.collect_list("_srsi").over(f.rows(-13)),
-        }
-    )
+    yield {
+        "_seller": weighted("_uw"),
+        "_buyer": weighted("_lw"),
+        "_up_mean": f.over(F.avg("_up_range"), lookback),
+        "_dn_mean": f.over(F.avg("_dn_range"), lookback),
+        "_net_body": f.over(F.sum("_signed_body"), lookback),
+        "_all_body": f.over(F.sum("_sbody"), lookback),
+        "_body_then": F.avg("_sbody").over(f.rows(-5, -3)),
+        "_body_now": F.avg("_sbody").over(f.rows(-2)),
+        "_p14": F.collect_list("close").over(f.rows(-13)),
+        "_r14": F.collect_list("_srsi").over(f.rows(-13)),
+    }
     both = F.col("_dn_mean") + F.col("_up_mean")
-    f = f.with_columns(
-        {
-            "_effort": F.when(both > TINY, (F.col("_dn_mean") - F.col("_up_mean")) / both).otherwise(0.0),
-            "_direction": F.col("_net_body") / (F.col("_all_body") + TINY),
-            "_exhaustion": F.when(
-                F.col("_body_then") > TINY,
-                F.greatest(
-                    F.lit(0.0), F.least((F.col("_body_then") - F.col("_body_now")) / F.col("_body_then"), F.lit(1.0))
-                ),
-            ).otherwise(0.0),
-            "_lo_at": F.array_position("_p14", F.array_min("_p14")).cast("int"),
-            "_hi_at": F.array_position("_p14", F.array_max("_p14")).cast("int"),
-        }
-    )
+    yield {
+        "_effort": F.when(both > TINY, (F.col("_dn_mean") - F.col("_up_mean")) / both).otherwise(0.0),
+        "_direction": F.col("_net_body") / (F.col("_all_body") + TINY),
+        "_exhaustion": F.when(
+            F.col("_body_then") > TINY,
+            F.greatest(
+                F.lit(0.0), F.least((F.col("_body_then") - F.col("_body_now")) / F.col("_body_then"), F.lit(1.0))
+            ),
+        ).otherwise(0.0),
+        "_lo_at": F.array_position("_p14", F.array_min("_p14")).cast("int"),
+        "_hi_at": F.array_position("_p14", F.array_max("_p14")).cast("int"),
+    }
 
     def before(values: str, at: str, pick) -> Column:
         return pick(F.slice(values, F.lit(1), F.greatest(F.col(at) - 1, F.lit(0))))
@@ -87,12 +81,10 @@ def synthetic_sentiment(f: Framed, lookback: int = 30, min_rows: int = 10) -> Fr
     )
     enough = F.col("rn") >= 28
     net = -F.col("_seller") * 0.30 + F.col("_buyer") * 0.30 - F.col("_effort") * 0.20 + F.col("_direction") * 0.20
-    f = f.with_columns(
-        {
-            "synth_divergence": F.when(enough & bull, "BULL").when(enough & bear, "BEAR").otherwise("NONE"),
-            "_net": F.greatest(F.lit(-1.0), F.least(net, F.lit(1.0))),
-        }
-    )
+    yield {
+        "synth_divergence": F.when(enough & bull, "BULL").when(enough & bear, "BEAR").otherwise("NONE"),
+        "_net": F.greatest(F.lit(-1.0), F.least(net, F.lit(1.0))),
+    }
     n, e = F.col("_net"), F.col("_exhaustion")
     bias = (
         F.when((n > 0.15) & (e <= 0.4), "GREEN")
@@ -112,12 +104,10 @@ def synthetic_sentiment(f: Framed, lookback: int = 30, min_rows: int = 10) -> Fr
         "synth_buyer_wick": (F.col("_buyer"), 0.0),
         "synth_effort_imb": (F.col("_effort"), 0.0),
     }
-    return f.with_columns(
-        {
-            **{name: F.when(known, F.round(v, 3)).otherwise(default) for name, (v, default) in numbers.items()},
-            "synth_signal_bias": F.when(known, bias).otherwise("NEUTRAL"),
-        }
-    )
+    yield {
+        **{name: F.when(known, F.round(v, 3)).otherwise(default) for name, (v, default) in numbers.items()},
+        "synth_signal_bias": F.when(known, bias).otherwise("NEUTRAL"),
+    }
 
 
 def synthetic_multiplier(direction: Column, digits: int = 3) -> dict[str, Column]:

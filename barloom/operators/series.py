@@ -13,8 +13,7 @@ keep every window inside a block of bounded size:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -134,10 +133,28 @@ def grouped_positions(
     return number_rows(df, keys, order, cell, name)
 
 
+def side_by_side(*families: Iterator[dict[str, Column]]) -> Iterator[dict[str, Column]]:
+    """Merge families layer by layer."""
+    running = list(families)
+    while running:
+        layer, alive = {}, []
+        for family in running:
+            columns = next(family, None)
+            if columns is not None:
+                layer.update(columns)
+                alive.append(family)
+        running = alive
+        if layer:
+            yield layer
+
+
+Layers = Iterator[dict[str, Column]]
+
+
 class Framed:
     """Series rows dealt to blocks with halo rows, so row frames of bounded reach stay local.
 
-    Chain `with_columns` calls and finish with `core`. All windows share one partitioning and one
+    Add column families with `then` and finish with `core`. All windows share one partitioning and one
     order, so Spark plans a single exchange and a single sort for a whole feature family.
     """
 
@@ -176,7 +193,18 @@ class Framed:
         return Framed(self.df.withColumns(columns), self.keys)
 
     def then(self, *steps) -> Framed:
-        return reduce(lambda framed, step: step(framed), steps, self)
+        """Add column families. A step is a family or a tuple of families that stand side by side.
+
+        A family is a generator: it yields layers, dicts of columns that may use all earlier layers.
+        The k-th layers of families in a tuple go into one projection, so their windows share one pass
+        over the sorted rows.
+        """
+        framed = self
+        for step in steps:
+            families = step if isinstance(step, tuple) else (step,)
+            for layer in side_by_side(*[family(framed) for family in families]):
+                framed = framed.with_columns(layer)
+        return framed
 
     def core(self, *columns: str | Column) -> DataFrame:
         """The rows of the series without the copies made for neighbours."""

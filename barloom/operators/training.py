@@ -18,13 +18,13 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.series import Framed
+from barloom.operators.series import Framed, Layers
 
 
-def next_bar_label(f: Framed, ahead: int = 1) -> Framed:
+def next_bar_label(f: Framed, ahead: int = 1) -> Layers:
     """`label`: 1 where the bar `ahead` bars later closes above its open; null where it is unknown."""
     later = f.next("close", ahead) > f.next("open", ahead)
-    return f.with_columns({"label": later.cast("int")})
+    yield {"label": later.cast("int")}
 
 
 def training_rows(features: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -33,13 +33,12 @@ def training_rows(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return assembler.transform(features.filter(F.col("label").isNotNull()))
 
 
-def sequence_windows(f: Framed, names: Sequence[str], length: int = 30) -> Framed:
+def sequence_windows(f: Framed, names: Sequence[str], length: int = 30) -> Layers:
     """`sequence`: the feature rows of the last `length` bars, oldest first; null before they are there."""
     step = F.array(*[F.col(n).cast("double") for n in names])
     whole = F.count(F.lit(1)).over(f.rows(-(length - 1))) == length
-    return f.with_columns({"_step": step}).then(
-        lambda x: x.with_columns({"sequence": F.when(whole, F.collect_list("_step").over(x.rows(-(length - 1))))})
-    )
+    yield {"_step": step}
+    yield {"sequence": F.when(whole, F.collect_list("_step").over(f.rows(-(length - 1))))}
 
 
 def expanding_folds(rows: DataFrame, folds: int = 5, keys: Sequence[str] = ("key", "tf_sec")) -> DataFrame:

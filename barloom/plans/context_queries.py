@@ -262,7 +262,7 @@ def green_if_up():
     + f"SELECT key, bar_epoch, synth_divergence, synth_signal_bias, {rd(*N.SYNTHETIC, digits=3)} FROM synth",
 )
 def synthetic_sentiment(spark, sf):
-    f = N.synthetic_sentiment(indicator_frame(bars(spark, sf), ["moves"]))
+    f = indicator_frame(bars(spark, sf), ["moves"]).then(N.synthetic_sentiment)
     return f.core("key", epoch(), "synth_divergence", "synth_signal_bias", *rounded(*N.SYNTHETIC, digits=3))
 
 
@@ -285,7 +285,7 @@ synm AS (SELECT *, round(CASE WHEN synth_signal_bias = 'NEUTRAL' THEN 1
     + f"SELECT key, bar_epoch, direction, synth_align, {rd('synth_mult')} FROM synm",
 )
 def synthetic_multiplier(spark, sf):
-    f = N.synthetic_sentiment(indicator_frame(bars(spark, sf), ["moves"]))
+    f = indicator_frame(bars(spark, sf), ["moves"]).then(N.synthetic_sentiment)
     d = green_if_up()
     return f.core("key", epoch(), "close", "open", *N.SYNTHETIC, "synth_divergence", "synth_signal_bias").withColumns(
         {"direction": d, **N.synthetic_multiplier(d, digits=6)}
@@ -509,7 +509,7 @@ g4 AS (SELECT key, bar_epoch, CASE WHEN rn < 19 THEN 'unknown' WHEN adx > 25 AND
 SELECT key, bar_epoch, regime, {rd('regime_score')} FROM g4""",
 )
 def market_regime(spark, sf):
-    return T.regime(frame(bars(spark, sf), back=96)).core("key", epoch(), "regime", *rounded("regime_score"))
+    return frame(bars(spark, sf), back=96).then(T.regime).core("key", epoch(), "regime", *rounded("regime_score"))
 
 
 VOTE_REGIME = f""",
@@ -528,7 +528,7 @@ BOOSTS = "(VALUES " + ", ".join(
 )
 def voting_regime(spark, sf):
     """Regime of every bar with the weight boost of every voter."""
-    f = T.voting_regime(indicator_frame(bars(spark, sf), ["trend"]))
+    f = indicator_frame(bars(spark, sf), ["trend"]).then(T.voting_regime)
     rows = f.core("key", epoch(), "vote_regime", *rounded("vote_atr_ratio"))
     return rows.join(F.broadcast(T.boost_table(spark)), "vote_regime")
 
@@ -546,7 +546,7 @@ spike AS (SELECT *, CASE WHEN rn >= 20 AND spb > 0 THEN spread / (spb + 1e-10::D
     with_(BARS, NUMBERED, SPIKE.format(src="b")) + f"SELECT key, bar_epoch, {rd('spike_ratio', 'spike_factor')} FROM spike",
 )
 def range_spike(spark, sf):
-    return T.range_spike(frame(bars(spark, sf), back=32)).core("key", epoch(), *rounded("spike_ratio", "spike_factor"))
+    return frame(bars(spark, sf), back=32).then(T.range_spike).core("key", epoch(), *rounded("spike_ratio", "spike_factor"))
 
 
 KALMAN_SQL = (

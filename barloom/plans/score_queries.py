@@ -15,7 +15,7 @@ from barloom.operators.indicators import indicator_frame
 from barloom.operators.joins import asof_join
 from barloom.operators.mtf import boost_table, timeframe_agreement
 from barloom.operators.series import number_rows
-from barloom.operators.structure import LOOKBACK, structure
+from barloom.operators.structure import FINDINGS, FOUNDATIONS, LOOKBACK, scores
 from barloom.plans import context_queries as C
 from barloom.plans import structure_sql as Q
 from barloom.plans.registry import epoch, query, r, rounded
@@ -148,7 +148,7 @@ ru4 AS (SELECT *, CASE WHEN rn >= 9 AND rule_bull > rule_bear AND rule_bull > 15
   WHEN rn >= 9 AND rule_bear > rule_bull AND rule_bear > 15 THEN 'RED' ELSE 'SKIP' END AS rule_direction FROM ru3),
 rules AS (SELECT *, CASE WHEN rule_direction = 'SKIP' THEN 0 ELSE least(0.5::DOUBLE + greatest(rule_bull, rule_bear) / 160 * 0.45::DOUBLE, 0.95::DOUBLE) END AS rule_confidence FROM ru4)"""
 
-_STEPS = (structure, P.institutional, P.candle_reaction)
+_STEPS = ((*FOUNDATIONS, P.institutional), FINDINGS, scores, P.candle_reaction)
 
 
 def _rule_frame(spark, sf):
@@ -242,9 +242,8 @@ CONSENSUS = f"""(CAST({_pick(_Z['rsi_14'] + ' < 65', _Z['rsi_14'] + ' > 35')} AS
 
 def _point_frame(spark, sf):
     f = indicator_frame(bars(spark, sf), ["averages", "bands", "rsi", "macd", "stochastic", "trend"], back=LOOKBACK + 16)
-    return f.then(
-        structure, P.institutional, P.wyckoff, P.elliott, P.supply_demand, P.chart_patterns, P.harmonics, P.candle_reaction
-    )
+    patterns = (P.institutional, P.wyckoff, P.elliott, P.supply_demand, P.chart_patterns, P.harmonics)
+    return f.then((*FOUNDATIONS, *patterns), FINDINGS, scores, P.candle_reaction)
 
 
 @query(
@@ -287,7 +286,7 @@ def layer_points(spark, sf):
 )
 def pattern_names(spark, sf):
     f = indicator_frame(bars(spark, sf), [], back=LOOKBACK + 16).then(
-        lambda x: P.candle_reaction(x, zones=False), P.harmonics
+        (lambda x: P.candle_reaction(x, zones=False), P.harmonics)
     )
     return f.core("key", epoch(), F.explode(K.pattern_names(C.green_if_up())).alias("pattern"))
 

@@ -462,7 +462,7 @@ lb AS (SELECT *, CAST(lead(close) {S} > lead(open) {S} AS INTEGER) AS label FROM
 
 def labelled(spark, sf, families=()):
     f = indicator_frame(bars(spark, sf), list(families), ahead=1)
-    return J.next_bar_label(f)
+    return f.then(J.next_bar_label)
 
 
 @query("next_bar_label", with_(BARS, NUMBERED, LABELLED) + "SELECT key, bar_epoch, label FROM lb WHERE label IS NOT NULL")
@@ -479,7 +479,7 @@ SELECT key, bar_epoch, label, len(cs) AS steps, round(cs[1] + 1e-11::DOUBLE, 6)
 def sequence_windows(spark, sf):
     """Training sequences of 30 bars, shown by their length, first close and summed range."""
     f = labelled(spark, sf).with_columns({"range": F.col("high") - F.col("low")})
-    f = J.sequence_windows(f, ["close", "range"])
+    f = f.then(lambda x: J.sequence_windows(x, ["close", "range"]))
     rows = f.core().filter("sequence IS NOT NULL AND label IS NOT NULL")
     total = F.aggregate("sequence", F.lit(0.0), lambda a, s: a + F.get(s, F.lit(1)))
     return rows.select(

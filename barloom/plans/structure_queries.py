@@ -18,7 +18,7 @@ SMC = Q.smc_sql("b")
 
 
 def _structure(spark, sf):
-    return M.structure(frame(bars(spark, sf), back=REACH))
+    return frame(bars(spark, sf), back=REACH).then(*M.STRUCTURE)
 
 
 def _register(name: str, flags: str = "", numbers: str = "", steps=None, sql: str = SMC, table: str = "smcn") -> None:
@@ -28,15 +28,15 @@ def _register(name: str, flags: str = "", numbers: str = "", steps=None, sql: st
     @query(name, with_(BARS, NUMBERED, sql) + f"SELECT {', '.join(parts)} FROM {table}")
     def run(spark, sf):
         f = frame(bars(spark, sf), back=REACH)
-        f = f.then(*steps) if steps else M.structure(f)
+        f = f.then(*(steps or M.STRUCTURE))
         return f.core("key", epoch(), *ints(*flags_), *rounded(*numbers_))
 
 
 _register(
     "swing_pivots", numbers="sh_at sl_at sh sh2 sl sl2", table="s4",
-    steps=[M.swings, lambda f: f.with_columns({
+    steps=[M.swings, lambda f: iter([{
         "sh_at": F.col("swing_high_at"), "sl_at": F.col("swing_low_at"), "sh": F.col("_sh"), "sh2": F.col("_sh2"),
-        "sl": F.col("_sl"), "sl2": F.col("_sl2")})],
+        "sl": F.col("_sl"), "sl2": F.col("_sl2")}])],
 )
 
 
@@ -45,9 +45,9 @@ _register(
     "fair_value_gaps",
     "price_in_bullish_fvg price_in_bearish_fvg bullish_fvg bearish_fvg",
     "fvg_50_level",
-    steps=[M.fair_value_gaps, lambda f: f.with_columns({
+    steps=[M.fair_value_gaps, lambda f: iter([{
         name: F.when(F.col("rn") >= 19, F.col(name)).otherwise(0)
-        for name in "price_in_bullish_fvg price_in_bearish_fvg bullish_fvg bearish_fvg fvg_50_level".split()})],
+        for name in "price_in_bullish_fvg price_in_bearish_fvg bullish_fvg bearish_fvg fvg_50_level".split()}])],
 )
 _register(
     "bos_choch",
@@ -80,7 +80,7 @@ _register("smc_scores", "smc_bull_score smc_bear_score smc_net_score")
 FROM (SELECT key, bar_epoch, ema_20, ema_50 AS e50 FROM feat)""",
 )
 def trend_label(spark, sf):
-    return M.trend_label(indicator_frame(bars(spark, sf), ["averages"])).core("key", epoch(), "trend")
+    return indicator_frame(bars(spark, sf), ["averages"]).then(M.trend_label).core("key", epoch(), "trend")
 
 
 def _mid(zones: str) -> str:
@@ -104,7 +104,7 @@ SELECT key, bar_epoch, in_ob, in_fvg, CAST(in_ob OR in_fvg AS INTEGER) AS zone_r
 FROM z""",
 )
 def zone_proximity(spark, sf):
-    f = frame(bars(spark, sf), back=REACH).then(M.order_blocks, M.fair_value_gaps)
+    f = frame(bars(spark, sf), back=REACH).then((M.order_blocks, M.fair_value_gaps))
 
     def live_zones(name: str, reach: int):
         return F.filter(F.col(name), lambda z: z["at"] >= F.col("rn") - reach)
@@ -125,7 +125,7 @@ def zone_proximity(spark, sf):
     + f"SELECT key, bar_epoch, {ii(*P.INSTITUTIONAL, 'inst_bull_score', 'inst_bear_score')} FROM insts",
 )
 def institutional(spark, sf):
-    f = P.institutional(indicator_frame(bars(spark, sf), ["rsi"]))
+    f = indicator_frame(bars(spark, sf), ["rsi"]).then(P.institutional)
     return f.core("key", epoch(), *ints(*P.INSTITUTIONAL, "inst_bull_score", "inst_bear_score"))
 
 
@@ -137,7 +137,7 @@ _register("wyckoff", " ".join(P.WYCKOFF), steps=[P.wyckoff], sql=Q.wyckoff_sql("
     with_(VOLUME_BARS, NUMBERED, Q.wyckoff_sql("b")) + f"SELECT key, bar_epoch, {ii(*P.WYCKOFF)} FROM wyck",
 )
 def wyckoff_volume(spark, sf):
-    return P.wyckoff(frame(volume_bars(spark, sf), back=64)).core("key", epoch(), *ints(*P.WYCKOFF))
+    return frame(volume_bars(spark, sf), back=64).then(P.wyckoff).core("key", epoch(), *ints(*P.WYCKOFF))
 
 
 _register(
@@ -164,7 +164,7 @@ _register(
     "advanced_patterns",
     " ".join(n for n in _ADVANCED if n not in ("elliott_wave_ratio", "sd_zone_strength")),
     "elliott_wave_ratio sd_zone_strength",
-    steps=[P.wyckoff, P.elliott, P.supply_demand, P.chart_patterns],
+    steps=[(P.wyckoff, P.elliott, P.supply_demand, P.chart_patterns)],
     sql=Q.wyckoff_sql("b") + Q.elliott_sql("wyck") + Q.supply_demand_sql("elli") + Q.chart_sql("sd"),
     table="chart",
 )
@@ -175,9 +175,9 @@ _register(
     "candle_reaction",
     " ".join(_RF),
     " ".join(_RN),
-    steps=[M.order_blocks, M.fair_value_gaps, lambda f: f.with_columns({
+    steps=[(M.order_blocks, M.fair_value_gaps), lambda f: iter([{
         n: F.when(F.col("rn") >= 19, F.col(n)).otherwise(0) for n in
-        ("price_at_bullish_ob", "price_at_bearish_ob", "price_in_bullish_fvg", "price_in_bearish_fvg")}),
+        ("price_at_bullish_ob", "price_at_bearish_ob", "price_in_bullish_fvg", "price_in_bearish_fvg")}]),
         P.candle_reaction],
     sql=SMC + Q.reaction_sql("smcn"),
     table="react",
@@ -249,7 +249,7 @@ candles AS (SELECT key, bar_epoch, rn,
     + " FROM candles",
 )
 def candlestick_18(spark, sf):
-    return P.candlesticks(frame(bars(spark, sf), back=16)).core("key", epoch(), *ints(*P.CANDLESTICKS))
+    return frame(bars(spark, sf), back=16).then(P.candlesticks).core("key", epoch(), *ints(*P.CANDLESTICKS))
 
 
 @query(
@@ -261,7 +261,7 @@ def candlestick_18(spark, sf):
     + " SELECT key, pattern, CAST(sum(hit) AS BIGINT) AS hits FROM u GROUP BY key, pattern",
 )
 def candlestick_counts(spark, sf):
-    wide = P.candlesticks(frame(bars(spark, sf), back=16)).core("key", *ints(*P.CANDLESTICKS))
+    wide = frame(bars(spark, sf), back=16).then(P.candlesticks).core("key", *ints(*P.CANDLESTICKS))
     long = wide.unpivot(["key"], P.CANDLESTICKS, "pattern", "hit")
     return long.groupBy("key", "pattern").agg(F.sum("hit").alias("hits"))
 
@@ -276,6 +276,6 @@ SELECT key, bar_epoch, direction, CASE
   ELSE 0 END AS boost FROM d""",
 )
 def harmonic_boost(spark, sf):
-    f = P.harmonics(frame(bars(spark, sf), back=REACH))
+    f = frame(bars(spark, sf), back=REACH).then(P.harmonics)
     direction = F.when(F.col("close") > F.col("open"), "GREEN").otherwise("RED")
     return f.core("key", epoch(), direction.alias("direction"), P.harmonic_boost(direction).alias("boost"))
