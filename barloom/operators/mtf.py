@@ -23,9 +23,8 @@ TF_POINTS = {60: 12, 15: 10, 5: 10, 2: 8}
 TF_NAMES = {60: "tf60", 15: "tf15", 5: "tf5", 2: "tf2"}
 
 
-def timeframe_bias(bars: DataFrame, tolerance: float = 0.02, min_rows: int = 10, **blocks) -> DataFrame:
-    """Bias and strength of each bar of each timeframe, from two averages and the slope of the faster."""
-    f = indicator_frame(bars, ["averages"], **blocks)
+def bias(f: Framed, tolerance: float = 0.02, min_rows: int = 10) -> Layers:
+    """Bias and strength from two averages and the slope of the faster; a fresh extreme adds strength."""
     c, fast, slow = F.col("close"), F.col("ema_20"), F.col("ema_50")
     yield {
         "_slope": (fast - f.prev("ema_20", 3)) / (c + TINY),
@@ -42,7 +41,13 @@ def timeframe_bias(bars: DataFrame, tolerance: float = 0.02, min_rows: int = 10,
         "strength": F.when(~known, 0.0).when(confirmed, F.least(base + 0.2, F.lit(1.0))).otherwise(base),
         "bos_bull": breaks_up,
         "bos_bear": breaks_down,
-    }.core("key", "tf_sec", "bar_start", "close", "bias", "strength", "bos_bull", "bos_bear")
+    }
+
+
+def timeframe_bias(bars: DataFrame, **blocks) -> DataFrame:
+    """Bias of each bar of each timeframe."""
+    f = indicator_frame(bars, ["averages"], **blocks).then(bias)
+    return f.core("key", "tf_sec", "bar_start", "close", "bias", "strength", "bos_bull", "bos_bear")
 
 
 def kill_zone(hour: Column) -> Column:

@@ -265,7 +265,7 @@ def harmonics(f: Framed, n: int = 3, lookback: int = LOOKBACK, min_rows: int = 3
         )
         found[f"{family}_bull"] = flag(fits & (F.col("_turn") < 0))
         found[f"{family}_bear"] = flag(fits & (F.col("_turn") > 0))
-    yield (found)
+    yield found
 
 
 def harmonic_boost(direction: Column, amount: float = 0.05) -> Column:

@@ -130,7 +130,7 @@ def fuse(probs: DataFrame, accuracies: DataFrame, floor: float = 0.05, default:
     `probs` is long: key, bar_start, model, prob. `accuracies`: model, accuracy (few rows).
     """
     skill = F.greatest(F.lit(floor), F.coalesce(F.col("accuracy"), F.lit(default)) - 0.5)
-    weighted = probs.join(F.broadcast(accuracies), "model", "left").withColumn("_w", skill)
+    weighted = probs.join(accuracies, "model", "left").withColumn("_w", skill)
     return weighted.groupBy("key", "bar_start").agg(
         F.round(F.sum(F.col("prob") * F.col("_w")) / F.sum("_w"), 9).alias("base_prob"),
         F.count(F.lit(1)).alias("n_models"),

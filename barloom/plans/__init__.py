@@ -4,6 +4,7 @@ from barloom.plans import (
     bar_queries,
     context_queries,
     indicator_queries,
+    model_queries,
     score_queries,
     signal_queries,
     source_queries,

@@ -663,7 +663,7 @@ def _news_hits(spark, sf):
     pairs = {"click": "CLI", "view": "VIE", "purchase": "PUR", "error": None, "signup": None}
     news = parse_news(raw_news(spark, sf), layouts=("h:mma", "H:mm"))
     dimension = symbol_currencies(spark, {k: [c, "USD"] if c else ["USD"] for k, c in pairs.items()})
-    return news.join(F.broadcast(dimension), "currency").select("key", "ts")
+    return news.join(dimension, "currency").select("key", "ts")
 
 
 @query(

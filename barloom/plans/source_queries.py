@@ -172,7 +172,7 @@ def incremental_ticks(spark, sf):
     """Ticks after the last one seen per key."""
     every = ticks(spark, sf)
     seen = every.filter(F.unix_timestamp("ts") < 1705363200).groupBy("key").agg(F.max("seq").alias("last_seq"))
-    return every.join(F.broadcast(seen), "key").filter("seq > last_seq").select("key", "seq", "price")
+    return every.join(seen, "key").filter("seq > last_seq").select("key", "seq", "price")
 
 
 @query(

@@ -70,7 +70,7 @@ def parse_ticks(raw: DataFrame, symbols: DataFrame) -> DataFrame:
         F.timestamp_seconds(m["tick"]["epoch"]).alias("ts"),
         m["tick"]["quote"].alias("price"),
     ).filter("price > 0")
-    return flat.join(F.broadcast(symbols), "feed_symbol").drop("feed_symbol")
+    return flat.join(symbols, "feed_symbol").drop("feed_symbol")
 
 
 def feed_symbol(key: Column, is_open: Column) -> Column:
