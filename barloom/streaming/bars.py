@@ -75,8 +75,9 @@ def _carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 def carried_bars(bars: DataFrame) -> DataFrame:
     """Closed bars with carried open and with flat bars for empty intervals.
 
-    Works on the bar stream, not on ticks: the state per key is one time and one price, and a task sees
-    at most one row per interval. Needs append mode.
+    Reads a stream of closed bars, such as the files `tick_bars` was written to, not ticks: the state
+    per key is one time and one price, and a task sees at most one row per interval. Append mode; a
+    stateful step of this kind cannot follow an aggregation in the same query.
     """
     return bars.groupBy("key").applyInPandasWithState(
         _carry, CARRIED, CARRY_STATE, "append", GroupStateTimeout.NoTimeout
