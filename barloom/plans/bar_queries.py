@@ -16,7 +16,7 @@ PRICES = ("open", "high", "low", "close")
 
 @query("ohlc_hourly", with_(BARS) + "SELECT key, tf_sec, bar_epoch, open, high, low, close, n_ticks FROM bars")
 def ohlc_hourly(spark, sf):
-    return bars(spark, sf).select("key", "tf_sec", epoch(), *PRICES, "n_ticks")
+    return bars(spark, sf, reuse=False).select("key", "tf_sec", epoch(), *PRICES, "n_ticks")
 
 
 CARRY_SQL = """,
@@ -78,7 +78,7 @@ ladder AS (
 )
 def bars_rollup_ladder(spark, sf):
     as_of = F.timestamp_seconds(F.lit(1706659200))
-    return B.roll_up(bars(spark, sf), as_of=as_of).select("key", "tf_sec", epoch(), *PRICES, "n_ticks", "closed")
+    return B.roll_up(bars(spark, sf, reuse=False), as_of=as_of).select("key", "tf_sec", epoch(), *PRICES, "n_ticks", "closed")
 
 
 @query(
@@ -89,7 +89,7 @@ def bars_rollup_ladder(spark, sf):
 FROM ladder WINDOW q AS (PARTITION BY key, htf, bucket ORDER BY bar_epoch ROWS UNBOUNDED PRECEDING)""",
 )
 def live_htf_view(spark, sf):
-    return B.live_roll_up(bars(spark, sf)).select(
+    return B.live_roll_up(bars(spark, sf, reuse=False)).select(
         "key", "htf_sec", epoch("htf_start", "htf_epoch"), epoch(), *PRICES, "n_ticks"
     )
 
@@ -170,7 +170,7 @@ def live_bar_updates(spark, sf):
 )
 def closed_bars_only(spark, sf):
     closed = B.is_closed(F.timestamp_seconds(F.lit(1706569200)))
-    return bars(spark, sf).filter(closed).select("key", "tf_sec", epoch(), *PRICES)
+    return bars(spark, sf, reuse=False).filter(closed).select("key", "tf_sec", epoch(), *PRICES)
 
 
 @query(
@@ -195,7 +195,7 @@ SELECT key, tf_sec, last_epoch, stored, stored < 700 AS cold_start,
 FROM s""",
 )
 def backfill_plan(spark, sf):
-    plan = B.backfill_plan(bars(spark, sf), F.timestamp_seconds(F.lit(1706832000)), target=3500)
+    plan = B.backfill_plan(bars(spark, sf, reuse=False), F.timestamp_seconds(F.lit(1706832000)), target=3500)
     return plan.select(
         "key", "tf_sec", epoch("last_start", "last_epoch"), "stored", "cold_start", F.col("fetch").cast("bigint").alias("fetch")
     )
@@ -210,7 +210,7 @@ SELECT key, bar_epoch, CASE WHEN dow = 6 THEN false WHEN dow = 0 THEN hr >= 21 W
   ELSE true END AS is_open FROM t""",
 )
 def market_hours(spark, sf):
-    return bars(spark, sf).select("key", epoch(), market_open(F.col("bar_start")).alias("is_open"))
+    return bars(spark, sf, reuse=False).select("key", epoch(), market_open(F.col("bar_start")).alias("is_open"))
 
 
 @query(

@@ -440,7 +440,7 @@ SELECT key, bar_epoch, CASE WHEN bull_votes >= bear_votes THEN 'GREEN' ELSE 'RED
 def preclose_samples(spark, sf):
     hour, i = F.floor(F.unix_timestamp("bar_start") / 3600), F.col("sample_no")
     samples = (
-        bars(spark, sf)
+        bars(spark, sf, reuse=False)
         .select("key", "bar_start", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("sample_no"))
         .withColumns(
             {

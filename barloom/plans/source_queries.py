@@ -39,7 +39,7 @@ def bar_retention_topn(spark, sf):
 
 @query("bar_counts", with_(BARS) + "SELECT key, tf_sec, count(*) AS n_bars FROM bars GROUP BY key, tf_sec")
 def bar_counts(spark, sf):
-    return bars(spark, sf).groupBy("key", "tf_sec").agg(F.count(F.lit(1)).alias("n_bars"))
+    return bars(spark, sf, reuse=False).groupBy("key", "tf_sec").agg(F.count(F.lit(1)).alias("n_bars"))
 
 
 @query(
@@ -63,7 +63,7 @@ def bars_merge_latest_wins(spark, sf):
 )
 def bar_messages(spark, sf):
     """Published messages read back by their consumer."""
-    sent = messages(bars(spark, sf))
+    sent = messages(bars(spark, sf, reuse=False))
     body = F.from_json("value", "epoch BIGINT, open DOUBLE, high DOUBLE, low DOUBLE, close DOUBLE").alias("b")
     return sent.select("topic", body).select("topic", F.col("b.epoch").alias("bar_epoch"), r("b.close").alias("close"))
 
@@ -84,7 +84,7 @@ def kline_messages(spark, sf):
         F.lit("1h").alias("i"),
     )
     kind = F.when(hour % 10 == 0, "depthUpdate").otherwise("kline")
-    raw = bars(spark, sf).select(F.to_json(F.struct(kind.alias("e"), F.col("key").alias("s"), k.alias("k"))).alias("value"))
+    raw = bars(spark, sf, reuse=False).select(F.to_json(F.struct(kind.alias("e"), F.col("key").alias("s"), k.alias("k"))).alias("value"))
     return feeds.parse_klines(raw).select("key", "tf_sec", epoch(), *PRICES, "volume", "closed")
 
 
@@ -102,7 +102,7 @@ def ohlc_messages(spark, sf):
         F.col("tf_sec").alias("granularity"),
     )
     kind = F.when(hour % 10 == 0, "tick").otherwise("ohlc")
-    raw = bars(spark, sf).select(F.to_json(F.struct(kind.alias("msg_type"), body.alias("ohlc"))).alias("value"))
+    raw = bars(spark, sf, reuse=False).select(F.to_json(F.struct(kind.alias("msg_type"), body.alias("ohlc"))).alias("value"))
     parsed = feeds.parse_ohlc(raw, F.timestamp_seconds(F.lit(1705968000)))
     return parsed.select("key", "tf_sec", epoch(), *PRICES, "closed")
 
@@ -133,7 +133,7 @@ SELECT key, bar_epoch, CASE WHEN (CASE WHEN dow = 6 THEN false WHEN dow = 0 THEN
 )
 def feed_symbols(spark, sf):
     name = feeds.feed_symbol(F.col("key"), market_open(F.col("bar_start")))
-    named = bars(spark, sf).select("key", epoch(), name.alias("feed_name"))
+    named = bars(spark, sf, reuse=False).select("key", epoch(), name.alias("feed_name"))
     return named.withColumn("internal", feeds.internal_symbol(F.col("feed_name")))
 
 
@@ -212,7 +212,7 @@ SELECT key, bar_epoch, close, n_ticks, last_price, tick_age FROM l JOIN t USING
 )
 def engine_snapshot(spark, sf):
     """Newest bar and tick per key with the age of the tick."""
-    newest = bars(spark, sf).groupBy("key").agg(F.max_by(F.struct("bar_start", "close", "n_ticks"), "bar_start").alias("_b"))
+    newest = bars(spark, sf, reuse=False).groupBy("key").agg(F.max_by(F.struct("bar_start", "close", "n_ticks"), "bar_start").alias("_b"))
     last = ticks(spark, sf).groupBy("key").agg(
         F.max_by("price", "seq").alias("last_price"), (1706659200 - F.max(F.unix_timestamp("ts"))).alias("tick_age")
     )

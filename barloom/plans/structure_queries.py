@@ -206,7 +206,7 @@ SELECT key, bar_epoch, {ii('is_bull', 'is_doji', 'is_pin_bull', 'is_pin_bear')},
   {rd('body_to_upper_wick', 'body_to_lower_wick', digits=3)} FROM o""",
 )
 def wick_geometry(spark, sf):
-    return P.wick_geometry(bars(spark, sf)).select(
+    return P.wick_geometry(bars(spark, sf, reuse=False)).select(
         "key",
         epoch(),
         *ints("is_bull", "is_doji", "is_pin_bull", "is_pin_bear"),

@@ -102,7 +102,14 @@ def parse_news(
     """Calendar entries of the wanted impacts; entries without a readable time are dropped."""
     m = F.from_json("value", NEWS)
     when = F.upper(F.concat_ws(" ", F.col("m.date"), F.col("m.time")))
-    parsed = F.coalesce(*[F.try_to_timestamp(when, F.lit(f"yyyy-MM-dd {layout}")) for layout in layouts])
+    # A failed parse costs an exception, so a layout is only tried on texts of its own kind.
+    halves = when.rlike("[AP]M$")
+    parsed = F.coalesce(
+        *[
+            F.when(halves if layout.endswith("a") else ~halves, F.try_to_timestamp(when, F.lit(f"yyyy-MM-dd {layout}")))
+            for layout in layouts
+        ]
+    )
     return (
         raw.select(m.alias("m"))
         .filter(F.lower("m.impact").isin(*impacts))

@@ -23,18 +23,28 @@ def ticks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def bars(spark: SparkSession, folder: str, tf_sec: int = 3600) -> DataFrame:
-    """Hourly bars of the event ticks, without volume."""
-    return cut_lineage(ohlc(ticks(spark, folder), tf_sec))
+def bars(spark: SparkSession, folder: str, tf_sec: int = 3600, reuse: bool = True) -> DataFrame:
+    """Hourly bars of the event ticks, without volume.
+
+    With `reuse` the bars are written once where the cluster names a folder for it, since positions,
+    frames and joins read them more than once and the ticks are far larger.
+    """
+    made = ohlc(ticks(spark, folder), tf_sec)
+    return cut_lineage(made) if reuse else made
 
 
 def trades(spark: SparkSession, folder: str) -> DataFrame:
-    """lineitem as trades with volume; all trades of a day share one timestamp."""
+    """lineitem as trades with volume; all trades of a day share one timestamp.
+
+    Order and line number repeat in the table, so the price completes the order of arrival. One number
+    instead of a struct keeps the bar aggregation a hash aggregation.
+    """
     price = F.col("l_extendedprice") / F.col("l_quantity")
+    order = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(20,0)")
     return table(spark, folder, "lineitem").select(
         F.col("l_returnflag").alias("key"),
         F.col("l_shipdate").cast("timestamp").alias("ts"),
-        F.struct("l_orderkey", "l_linenumber", price.alias("price")).alias("seq"),
+        (order * 10**12 + F.round(price * 10**6).cast("decimal(12,0)")).cast("decimal(38,0)").alias("seq"),
         price.alias("price"),
         F.col("l_quantity").alias("volume"),
     )
