@@ -247,8 +247,9 @@ def frame(
     dealt = _deal(rows, F.col("rn"), back, ahead, block_rows).unionByName(
         _deal(markers, first_rn, back, ahead, block_rows), allowMissingColumns=True
     )
-    framed = Framed(dealt.withColumn("_core", _is_core(block_rows)), keys)
-    return resolve(framed, scans, sub_rows, numbered.columns)
+    # Asked for by name, since the scans alone would move the rows by sub-block and the frames again.
+    moved = dealt.withColumn("_core", _is_core(block_rows)).repartition(*keys, "_blk")
+    return resolve(Framed(moved, keys), scans, sub_rows, numbered.columns)
 
 
 def _is_core(block_rows: int) -> Column:
