@@ -182,8 +182,8 @@ def supply_demand(f: Framed, min_rows: int = 20) -> Layers:
     }
     usual = F.col("_mean10")
     yield {
-        "_drops": F.size(F.filter("_moves", lambda m: m / usual < -1.5)),
-        "_rallies": F.size(F.filter("_moves", lambda m: m / usual > 1.5)),
+        "_drops": F.size(F.filter("_moves", lambda m: m < usual * -1.5)),
+        "_rallies": F.size(F.filter("_moves", lambda m: m > usual * 1.5)),
     }
     width = F.col("_top20") - F.col("_low20")
     known = F.col("rn") >= min_rows - 1

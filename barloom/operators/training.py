@@ -48,7 +48,7 @@ def expanding_folds(rows: DataFrame, folds: int = 5, keys: Sequence[str] = ("key
     labelled rows of the series.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    size = F.floor(F.col("_n") / (folds + 1))
+    size = F.greatest(F.floor(F.col("_n") / (folds + 1)), F.lit(1))
     fold = F.greatest(F.lit(0), folds - F.floor((F.col("_n") - F.col("rn") - 1) / size))
     return rows.join(sizes, list(keys)).withColumn("fold", fold.cast("int")).drop("_n")
 

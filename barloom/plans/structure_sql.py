@@ -193,8 +193,8 @@ def supply_demand_sql(source: str) -> str:
     return f""",
 d1 AS (SELECT *, {strict('avg', 'spread', 10)} AS y10, min(low) {w(20)} AS dl20, max(high) {w(20)} AS dt20,
   min(low) {w(5)} AS dl5, avg(body) {w(5)} AS dep5, list(close - open) {w(30)} AS mv FROM {source}),
-d2 AS (SELECT *, rn >= 19 AS dok, len(list_filter(mv, lambda m: m / y10 < -1.5::DOUBLE)) AS drops,
-  len(list_filter(mv, lambda m: m / y10 > 1.5::DOUBLE)) AS rallies FROM d1),
+d2 AS (SELECT *, rn >= 19 AS dok, len(list_filter(mv, lambda m: m < y10 * -1.5::DOUBLE)) AS drops,
+  len(list_filter(mv, lambda m: m > y10 * 1.5::DOUBLE)) AS rallies FROM d1),
 sd AS (SELECT *, {flag('dok AND drops > 0 AND rallies > drops')} AS sd_demand_zone,
   {flag('dok AND rallies > 0 AND drops > rallies')} AS sd_supply_zone,
   {flag('dok AND close < dl20 + (dt20 - dl20) * 0.25::DOUBLE')} AS sd_at_demand,
