@@ -20,7 +20,7 @@ def _rows(spark, sf):
     """Labelled feature rows, written once because every fit reads them."""
     f = indicator_frame(bars(spark, sf), ["candle", "rsi", "momentum", "means", "volatility"], ahead=1)
     rows = f.then(J.next_bar_label).core("key", "tf_sec", "bar_start", "rn", "label", *FEATURES)
-    return cut_lineage(rows.filter("label IS NOT NULL").na.fill(0.0), always=True)
+    return cut_lineage(rows.filter("label IS NOT NULL").na.fill(0.0))
 
 
 @query("classifier_cross_validation")
@@ -63,7 +63,7 @@ def stacked_probability(spark, sf):
     settled = outcomes(spark, sf).filter("outcome IN ('WIN', 'LOSS')")
     matrix = J.stacking_rows(model_probs(spark, sf), list(MODELS))
     labels = settled.select("key", "bar_start", (F.col("outcome") == "WIN").cast("int").alias("label"))
-    rows = cut_lineage(matrix.join(labels, ["key", "bar_start"]), always=True)
+    rows = cut_lineage(matrix.join(labels, ["key", "bar_start"]))
     scored = J.probability(J.fit_stack(rows, list(MODELS)).transform(matrix), "stacked")
     mean = sum((F.col(m) for m in list(MODELS)[1:]), F.col(list(MODELS)[0])) / len(MODELS)
     return scored.withColumn("fused", J.fuse_stack(mean, F.col("stacked"))).select(
@@ -77,7 +77,7 @@ def meta_label(spark, sf):
     settled = outcomes(spark, sf).filter("outcome IN ('WIN', 'LOSS')")
     right = settled.select("key", "bar_start", (F.col("outcome") == "WIN").cast("int").alias("right"))
     rows = _rows(spark, sf).drop("label").join(right.withColumnRenamed("right", "label"), ["key", "bar_start"])
-    rows = cut_lineage(rows, always=True)
+    rows = cut_lineage(rows)
     scored = J.probability(J.fit_meta_labeler(rows, FEATURES).transform(rows), "meta_prob")
     return scored.select("key", epoch(), "label", *rounded("meta_prob"))
 

@@ -379,8 +379,8 @@ def context(spark, sf):
     Bars, the wide feature table and the joined table are each written once: several branches read
     them, and the plan above starts from a short one.
     """
-    source = cut_lineage(bars(spark, sf), always=True)
-    wide = cut_lineage(analyse(source), always=True)
+    source = cut_lineage(bars(spark, sf))
+    wide = cut_lineage(analyse(source))
     on = ["key", "tf_sec", "bar_start"]
     numbered = number_rows(source)
     profiles = V.profile(V.histogram(numbered, V.last_bar_per_day(numbered)))
@@ -402,7 +402,7 @@ def context(spark, sf):
     df = wide
     for part in (frames, zones, profile, mood, flow):
         df = df.join(part, on)
-    return cut_lineage(df.join(fused, ["key", "bar_start"]), always=True)
+    return cut_lineage(df.join(fused, ["key", "bar_start"]))
 
 
 @query(

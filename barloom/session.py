@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,22 +29,35 @@ def build_session(app_name: str = "barloom", master: str | None = None, **extra:
     return builder.getOrCreate()
 
 
-def shared_checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, or None where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in `spark.checkpoint.dir`.
+
+    Only a session on one machine may go without the setting (tests); it gets a folder that goes with the process.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _LOCAL_FOLDERS:
+        made = tempfile.mkdtemp(prefix="barloom-shared-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        _LOCAL_FOLDERS[context.applicationId] = made
+    return _LOCAL_FOLDERS[context.applicationId]
+
+
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
-def cut_lineage(df: DataFrame, always: bool = False) -> DataFrame:
-    """Write an intermediate table once so that several branches read it instead of recomputing it.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once as Parquet in the shared folder and return a reader of it.
 
-    On a cluster that names `spark.checkpoint.dir` the rows go to that shared folder, so the loss
-    of an executor costs nothing. Where the setting is absent (tests on one machine) the plan stays
-    lazy unless `always` asks for a checkpoint, which then goes to a folder made for the session.
+    Several branches then read the same rows instead of recomputing them, with column pruning and pushed filters, and
+    the loss of an executor costs nothing. The files lie under the application's id, so that whoever runs the job can
+    delete them when it has ended.
     """
-    context = df.sparkSession.sparkContext
-    folder = shared_checkpoint_dir(df.sparkSession)
-    if folder is None and not always:
-        return df
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/barloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -50,7 +50,7 @@ def upsert_bars(spark: SparkSession, bars: DataFrame, path: str) -> None:
     fresh = with_day(bars)
     touched = fresh.select(*PARTITIONS).distinct()
     stored = spark.read.parquet(path).join(touched, list(PARTITIONS), "left_semi").select(*fresh.columns)
-    write_bars(cut_lineage(merge_latest([stored, fresh]).drop("day"), always=True), path)
+    write_bars(cut_lineage(merge_latest([stored, fresh]).drop("day")), path)
 
 
 def trim_bars(spark: SparkSession, path: str, target: str, keep: int = 5000) -> None:
