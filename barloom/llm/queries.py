@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, lines, mixing, rules, shards, simhash
+from barloom.llm import decontaminate, language, lines, maxent, mixing, rules, shards, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_lm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return maxent.score_documents(table(spark, sf, "documents"))
+
+
 def op2_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf, "documents"))
 
@@ -23,6 +27,10 @@ def op4_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf, "documents"))
 
 
+def op5_language(spark: SparkSession, sf: str) -> DataFrame:
+    return language.language_of_documents(table(spark, sf, "documents"))
+
+
 def op6_rules(spark: SparkSession, sf: str) -> DataFrame:
     rows, name = rules.ledger(table(spark, sf, "documents").select("doc_id", "text"))
     bits = rows[name]["fail_bits"]
@@ -46,7 +54,7 @@ def op9_site_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_shards, op4_mixture, op6_rules, op7_simhash, op8_decontamination, op9_site_lines)
+    f.__name__: f for f in (op1_lm_scores, op2_shards, op4_mixture, op5_language, op6_rules, op7_simhash, op8_decontamination, op9_site_lines)
 }
 
 ORACLES: dict[str, str] = {}
