@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, language, lines, maxent, mixing, rules, shards, simhash
+from barloom.llm import decontaminate, language, lines, maxent, mixing, passages, rules, shards, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,8 +53,12 @@ def op9_site_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.site_lines(table(spark, sf, "pages"))
 
 
+def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_lm_scores, op2_shards, op4_mixture, op5_language, op6_rules, op7_simhash, op8_decontamination, op9_site_lines)
+    f.__name__: f for f in (op1_lm_scores, op2_shards, op4_mixture, op5_language, op6_rules, op7_simhash, op8_decontamination, op9_site_lines, op10_passages)
 }
 
 ORACLES: dict[str, str] = {}
