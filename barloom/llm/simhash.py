@@ -234,13 +234,20 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, fp and group (least fingerprint of the component) of every document, written."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash and fp of every document; and fp, `first` (least doc_id and text hash, null first) and component_id
+    (least doc_id) of every fingerprint's component.
+
+    The least is taken per fingerprint, then per component, and written: what the documents then join is a row for each
+    fingerprint, so Spark can split a fingerprint that very many documents have.
+    """
     rows = cut_lineage(fingerprints(docs))
-    fps = cut_lineage(rows.select("fp").distinct())
-    roots = components(links(fps)).select(F.col("node").alias("fp"), "root")
-    named = fps.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"))
-    return rows.join(named, "fp")
+    fps = cut_lineage(rows.groupBy("fp").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least")))
+    roots = components(links(fps.select("fp"))).select(F.col("node").alias("fp"), "root")
+    member = fps.join(roots, "fp", "left").withColumn("group", F.coalesce("root", "fp"))
+    whole = member.groupBy("group").agg(F.min("first").alias("first"), F.min("least").alias("component_id"))
+    named = cut_lineage(member.select("fp", "group").join(whole, "group").drop("group"))
+    return rows, named
 
 
 def component_ids(docs: DataFrame) -> DataFrame:
@@ -250,17 +257,15 @@ def component_ids(docs: DataFrame) -> DataFrame:
     no rule, as the least doc_id names the component (null only if all its ids are null). An empty table gives no rows.
     Only doc_id and text are read.
     """
-    rows = grouped(docs)
-    least = rows.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "group").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+    rows, named = grouped(docs)
+    return rows.join(named, "fp").select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs for each component: the least doc_id (null first), then the least text hash; with docs' columns."""
     doc, hash_, number = free_name(docs, "kept_id", "kept_hash", "kept_number")
-    rows = grouped(docs)
-    first = rows.groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("s"))
-    chosen = first.select(F.col("s.doc_id").alias(doc), F.col("s.text_hash").alias(hash_))
+    _, named = grouped(docs)
+    chosen = named.select(F.col("first.doc_id").alias(doc), F.col("first.text_hash").alias(hash_)).distinct()
     same = docs["doc_id"].cast("bigint").eqNullSafe(chosen[doc]) & (F.xxhash64(docs["text"]) == chosen[hash_])
     met = docs.join(chosen, same)
     # Repeated rows of the same id and text are all met; the rows lie together already.
