@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, language, lines, maxent, mixing, passages, rules, shards, simhash
+from barloom.llm import decontaminate, extract, language, lines, maxent, mixing, passages, rules, shards, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_shards(spark: SparkSession, sf: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf, "documents"))
 
 
+def op3_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract.main_text(table(spark, sf, "pages"))
+
+
 def op4_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf, "documents"))
 
@@ -58,7 +62,7 @@ def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_lm_scores, op2_shards, op4_mixture, op5_language, op6_rules, op7_simhash, op8_decontamination, op9_site_lines, op10_passages)
+    f.__name__: f for f in (op1_lm_scores, op2_shards, op3_main_text, op4_mixture, op5_language, op6_rules, op7_simhash, op8_decontamination, op9_site_lines, op10_passages)
 }
 
 ORACLES: dict[str, str] = {}
