@@ -227,8 +227,8 @@ def restyled(blocks: list[Block], labels: list[int], rng: random.Random) -> list
                 other[kind] = (element, () if bare else (rng.choice(OTHER_NAMES),), rng.random() < 0.35)
             element, own, inside = other[kind]
             path, hints = ((holder, element, leaf), held + own) if inside else ((element, leaf), own)
-            if rng.random() < 0.2:
-                path = path[:-1]
+            if rng.random() < 0.5:
+                path = (*path[:-1], *rng.choice([(), ("h1",), ("h2",), ("h3",), ("p",), ("li",)]))
         out.append(Block(("html", "body", "div", *path), (wrap, *hints), block.text, block.links))
     # A part of another kind: readers' comments after the article, in its own words.
     said = [b for b, y in zip(blocks, labels, strict=True) if y][:3]
