@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import cut_lineage
+
 #: Shares and counts of the production query.
 MAX_RATIO, MIN_PAGES = 0.3, 3
 
@@ -50,7 +52,8 @@ def drop_boilerplate(pages: DataFrame, host: str, lines: str, max_ratio: float =
     counts = sites.select("__host", F.explode(signs).alias("__sign")).groupBy("__host", "__sign").agg(F.count(F.lit(1)).alias("__n"))
     frequent = counts.filter((F.col("__n") >= min_pages) | F.col("__sign").isNull())
     totals = frequent.filter(F.col("__sign").isNull()).select("__host", F.col("__n").alias("__pages"))
-    bad = (
+    # Written, so that pages meet a plain table: Spark broadcasts it if it is small and splits the hot host if not.
+    bad = cut_lineage(
         frequent.filter(F.col("__sign").isNotNull())
         .join(totals, "__host")
         .filter(F.col("__n") > max_ratio * F.col("__pages"))
