@@ -170,7 +170,7 @@ def mix_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """doc_id, size, source_size, target and taken of every document.
 
     A document belongs to its own source; a null source is a source, the last. Only whole documents are taken, once or
-    twice. A null or wordless text has size 0 and gives nothing. Repeated rows are taken each for itself; ties of the seeded
+    twice, so a source is off its target by at most half of its largest document. A null or wordless text has size 0 and gives nothing. Repeated rows are taken each for itself; ties of the seeded
     hash are settled by doc_id and text. An empty table gives no rows. Reads doc_id, text and source.
     """
     rows = docs.select(
