@@ -10,10 +10,21 @@ from pyspark.sql import functions as F
 from barloom.operators.series import KEYS, number_rows
 
 
+#: Default of spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1000
+
+
 def newest_rows(
     df: DataFrame, n: int, keys: Sequence[str] = KEYS, order: Sequence[str] = ("bar_start",), block: Column | None = None
 ) -> DataFrame:
-    """The newest `n` rows of each series, by position from its end."""
+    """The newest `n` rows of each series.
+
+    Up to GROUP_LIMIT rows, Spark keeps only the newest of each partition before it moves any (a limit within the window).
+    Beyond that it would rank a whole series in one task, so rows are numbered by blocks instead.
+    """
+    if n <= GROUP_LIMIT:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)))
+        return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
     numbered = number_rows(df, keys, order, block)
     sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     return numbered.join(sizes, list(keys)).filter(F.col("rn") >= F.col("_size") - n).select(*df.columns)

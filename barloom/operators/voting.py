@@ -161,7 +161,7 @@ def weighted(votes_: DataFrame, proposals: DataFrame, boosts: DataFrame, weights
     key, bar_start, agent, weight where learned weights are known.
     """
     asked = proposals.select("key", "bar_start", F.col("direction").alias("proposed"), F.col("confidence").alias("proposed_confidence"), "vote_regime")
-    df = votes_.join(asked, ["key", "bar_start"]).join(F.broadcast(boosts), ["vote_regime", "agent"], "left")
+    df = votes_.join(asked, ["key", "bar_start"]).join(boosts, ["vote_regime", "agent"], "left")
     if weights is not None:
         df = df.join(weights, ["key", "bar_start", "agent"], "left")
     learned = F.coalesce(F.col("weight"), F.lit(1.0)) if weights is not None else F.lit(1.0)

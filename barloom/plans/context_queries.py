@@ -168,13 +168,13 @@ def rejection_zone_states(spark, sf):
     + f""", l AS (SELECT * FROM states WHERE bar_epoch <= 1706396400
   QUALIFY row_number() OVER (PARTITION BY key, level_no ORDER BY bar_epoch DESC, turn DESC) = 1),
 s AS (SELECT *, {score_sql('1706396400 - bar_epoch')} AS score FROM l WHERE 1706396400 - bar_epoch <= 259200),
-k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, level_no) <= 20)
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY score DESC, level_no) <= 200)
 SELECT key, level_no, bar_epoch, touch_count, growing, zone_side, {rd('score')}, {GRADE} AS grade, {SIGNAL} AS signal FROM k""",
 )
 def rejection_zones(spark, sf):
-    """Live zones late in the month, the strongest 20 per series."""
+    """Live zones late in the month, within the capacity of a series."""
     as_of = F.timestamp_seconds(F.lit(1706396400))
-    snap = Z.snapshot(_states(spark, sf), as_of, capacity=20)
+    snap = Z.snapshot(_states(spark, sf), as_of)
     return snap.select(
         "key", "level_no", epoch(), "touch_count", "growing", "zone_side", r("score").alias("score"), "grade", "signal"
     )

@@ -379,12 +379,10 @@ def hour_multipliers(spark, sf):
     SIG
     + DIAG
     + """, pl AS (SELECT 'BAD_HOUR' AS kind, key, utc_hour, win_rate FROM bh UNION ALL SELECT 'OVERCONFIDENCE', key, -1, win_rate FROM bb)
-SELECT kind, key, utc_hour, round(win_rate + 1e-11::DOUBLE, 6) AS win_rate FROM pl ORDER BY win_rate, kind, key, utc_hour LIMIT 20""",
+SELECT kind, key, utc_hour, round(win_rate + 1e-11::DOUBLE, 6) AS win_rate FROM pl""",
 )
 def problem_log(spark, sf):
-    log = L.problem_log(*_diagnosis(spark, sf), as_of())
-    worst = log.select("kind", "key", "utc_hour", *rounded("win_rate")).orderBy("win_rate", "kind", "key", "utc_hour")
-    return worst.limit(20)
+    return L.problem_log(*_diagnosis(spark, sf), as_of()).select("kind", "key", "utc_hour", *rounded("win_rate"))
 
 
 @query(

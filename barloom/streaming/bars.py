@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -50,9 +51,9 @@ def tick_bars(ticks: DataFrame, tf_sec: int, lateness: str = "10 minutes") -> Da
 
 
 def _carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Open each bar of one key at the previous close and fill the intervals without ticks."""
+    """Open each bar of one series at the previous close and fill the intervals without ticks."""
     bars = pd.concat(list(batches)).sort_values("bar_start")
-    name, tf = key[0], int(bars["tf_sec"].iloc[0])
+    name, tf = key
     last_sec, last_close = state.get if state.exists else (None, None)
     rows = []
     starts = (bars["bar_start"] - pd.Timestamp(0)) // pd.Timedelta(seconds=1)
@@ -76,10 +77,10 @@ def carried_bars(bars: DataFrame) -> DataFrame:
     """Closed bars with carried open and with flat bars for empty intervals.
 
     Reads a stream of closed bars, such as the files `tick_bars` was written to, not ticks: the state
-    per key is one time and one price, and a task sees at most one row per interval. Append mode; a
+    per series is one time and one price, and a task sees at most one row per interval. Append mode; a
     stateful step of this kind cannot follow an aggregation in the same query.
     """
-    return bars.groupBy("key").applyInPandasWithState(
+    return bars.groupBy("key", "tf_sec").applyInPandasWithState(
         _carry, CARRIED, CARRY_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
@@ -107,12 +108,14 @@ def store_bars(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-        if exists:
-            upsert_bars(spark, batch, path)
-        else:
+        try:
+            spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             write_bars(batch, path)
+        else:
+            upsert_bars(spark, batch, path)
 
     return (
         bars.writeStream.foreachBatch(write)

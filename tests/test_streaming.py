@@ -136,3 +136,28 @@ def test_published_messages_lie_by_topic(spark, tmp_path):
     assert S.publish(messages(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(180)
     got = spark.read.json(str(tmp_path / "out")).groupBy("topic").count().toPandas()
     assert dict(zip(got["topic"], got["count"])) == {"candle:a:60": 3, "candle:b:60": 3}
+
+
+def test_carried_closes_stay_in_their_timeframe(spark, tmp_path):
+    from barloom.streaming.bars import carried_bars
+
+    rows = [("a", tf, at(1704067200 + tf * i), p, p + 1, p - 1, p + 0.5, 3) for tf, base in ((60, 10.0), (300, 50.0)) for i, p in ((0, base), (1, base + 1), (3, base + 3))]
+    schema = "key string, tf_sec int, bar_start timestamp, open double, high double, low double, close double, n_ticks bigint"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = carried_bars(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("two_timeframes").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r.tf_sec, int(r.bar_start.timestamp())): (r.open, r.close) for r in spark.table("two_timeframes").collect()}
+    for tf, base in ((60, 10.0), (300, 50.0)):
+        mine = [got[tf, 1704067200 + tf * i] for i in range(4)]
+        assert mine == [(base, base + 0.5), (base + 0.5, base + 1.5), (base + 1.5, base + 1.5), (base + 1.5, base + 3.5)]
+    assert len(got) == 8
+
+
+def test_newest_rows_are_limited_before_they_move(spark):
+    from barloom.operators.retention import newest_rows
+
+    df = spark.range(5000).selectExpr("id % 3 AS key", "60 AS tf_sec", "timestamp_seconds(id) AS bar_start")
+    newest = newest_rows(df, 5)
+    assert "WindowGroupLimit" in newest._jdf.queryExecution().executedPlan().toString()
+    assert sorted(int(r.bar_start.timestamp()) for r in newest.collect()) == list(range(4985, 5000))
