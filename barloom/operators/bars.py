@@ -234,16 +234,26 @@ def downsample(ticks: DataFrame, millis: int) -> DataFrame:
     ).select("key", "slot", "_last.ts", "_last.price", "merged")
 
 
-def silent_spans(ticks: DataFrame, soft: float, hard: float, block: Column) -> DataFrame:
-    """Spans without a tick longer than `soft` seconds; `hard` marks the long ones."""
-    scanned = prefix_scan(
-        ticks, ["key"], block, ["ts", "seq"], {"silent_from": ("last", F.col("ts"))}, inclusive=False
-    )
-    seconds = (F.unix_micros("ts") - F.unix_micros("silent_from")) / F.lit(1e6)
+def silent_spans(ticks: DataFrame, soft: float, hard: float) -> DataFrame:
+    """Spans without a tick longer than `soft` seconds; `hard` marks the long ones.
+
+    Ticks are first reduced to the earliest and latest one of each `soft` seconds. No longer span fits inside such a cell,
+    so every span lies between two neighbouring cells, and a key has as many rows as its time has cells, however many ticks.
+    """
+    cell = F.floor(F.unix_micros("ts") / F.lit(int(soft * 1e6)))
+    cells = ticks.groupBy("key", cell.alias("_cell")).agg(F.min("ts").alias("_first"), F.max("ts").alias("_last"))
+    before = Window.partitionBy("key").orderBy("_cell")
+    spans = cells.withColumn("silent_from", F.lag("_last").over(before))
+    seconds = (F.unix_micros("_first") - F.unix_micros("silent_from")) / F.lit(1e6)
     return (
-        scanned.select("key", "silent_from", F.col("ts").alias("silent_until"), seconds.alias("seconds"))
+        spans.select("key", "silent_from", F.col("_first").alias("silent_until"), seconds.alias("seconds"))
         .filter(F.col("seconds") > soft)
         .withColumn("hard", F.col("seconds") > hard)
     )
 
 
+def trailing_silence(ticks: DataFrame, as_of: Column, soft: float, hard: float) -> DataFrame:
+    """Per key: its last tick, the seconds since then, and whether that is more than `soft` and `hard` allow."""
+    last = ticks.groupBy("key").agg(F.max("ts").alias("last_tick"))
+    seconds = (F.unix_micros(as_of) - F.unix_micros("last_tick")) / F.lit(1e6)
+    return last.withColumn("seconds", seconds).withColumns({"soft": F.col("seconds") > soft, "hard": F.col("seconds") > hard})

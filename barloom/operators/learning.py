@@ -43,7 +43,7 @@ def adaptive_threshold(outcomes: DataFrame, chunk: int = CHUNK, block_seconds: i
         decided,
         keys,
         time_block("bar_start", block_seconds),
-        ["bar_start"],
+        [c for c in ("bar_start", "tf_sec") if c in decided.columns],
         {"_n": ("count", F.lit(1)), "_wins": ("sum", won)},
     )
     rate = F.col("_wins") / F.col("_n")

@@ -143,11 +143,11 @@ def bad_hours(outcomes: DataFrame, min_settled: int = 3, limit: float = 0.35) ->
 def loss_streak(outcomes: DataFrame, block_seconds: int = 86400 * 30) -> DataFrame:
     """`streak`: losses since the last win, after each settled signal; expired ones leave it unchanged.
 
-    Losses so far minus losses at the last win. Both are running aggregates, so a series of any length
+    Signals of several timeframes on the same bar start follow each other by timeframe. Losses so far minus losses at the last win. Both are running aggregates, so a series of any length
     is scanned block by block.
     """
     block = time_block("bar_start", block_seconds)
-    keys, order = ["key"], ["bar_start"]
+    keys, order = ["key"], [c for c in ("bar_start", "tf_sec") if c in outcomes.columns]
     lost = F.when(F.col("outcome") == "LOSS", 1).otherwise(0)
     counted = prefix_scan(outcomes, keys, block, order, {"_lost": ("sum", lost)})
     reset = F.when(_won(), F.col("_lost"))
@@ -163,7 +163,9 @@ def range_index(f, n: int = 15, min_rows: int = 20) -> Column:
     return F.when((F.col("rn") >= min_rows - 1) & (mean > 0), estimate).otherwise(20.0)
 
 
-def deduplicate_markers(markers: DataFrame, as_of: Column, ttl_seconds: int = 86400) -> DataFrame:
-    """First marker per key, timeframe and bar, not older than the time to live."""
+def deduplicate_markers(markers: DataFrame, as_of: Column, ttl_seconds: int = 86400, order: str = "seq") -> DataFrame:
+    """First marker by `order` per key, timeframe and bar, not older than the time to live."""
     fresh = F.unix_timestamp(as_of) - F.unix_timestamp("bar_start") <= ttl_seconds
-    return markers.filter(fresh).dropDuplicates(["key", "tf_sec", "bar_start"])
+    unique = ["key", "tf_sec", "bar_start"]
+    first = F.min_by(F.struct(*[c for c in markers.columns if c not in unique]), order)
+    return markers.filter(fresh).groupBy(*unique).agg(first.alias("_m")).select(*unique, "_m.*").select(*markers.columns)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from barloom.functions.sessions import market_open
 from barloom.operators import bars as B
-from barloom.operators.series import time_block
 from barloom.plans.registry import epoch, ints, query, r, rounded
 from barloom.plans.sqlparts import BARS, NUMBERED, TICKS, S, rd, with_
 from barloom.sources.samples import bars, ticks
@@ -234,7 +233,7 @@ SELECT key, a AS from_us, b AS until_us, round((b - a) / 1e6::DOUBLE + 1e-11::DO
 FROM g WHERE (b - a) / 1e6::DOUBLE > 7200""",
 )
 def feed_silence(spark, sf):
-    spans = B.silent_spans(ticks(spark, sf), 7200, 14400, time_block("ts", 86400))
+    spans = B.silent_spans(ticks(spark, sf), 7200, 14400)
     return spans.select(
         "key",
         F.unix_micros("silent_from").alias("from_us"),
@@ -242,3 +241,15 @@ def feed_silence(spark, sf):
         r("seconds").alias("seconds"),
         "hard",
     )
+
+
+@query(
+    "feed_trailing_silence",
+    with_(TICKS)
+    + """, l AS (SELECT key, max(epoch_us(ts)) AS last_us FROM ticks GROUP BY key), s AS (SELECT *, (1706659200000000 - last_us) / 1e6::DOUBLE AS secs FROM l)
+SELECT key, last_us, round(secs + 1e-11::DOUBLE, 6) + 0.0::DOUBLE AS seconds, secs > 300 AS soft, secs > 600 AS hard FROM s""",
+)
+def feed_trailing_silence(spark, sf):
+    """Seconds from the last tick of each key to a given moment."""
+    last = B.trailing_silence(ticks(spark, sf), F.timestamp_seconds(F.lit(1706659200)), 300, 600)
+    return last.select("key", F.unix_micros("last_tick").alias("last_us"), r("seconds").alias("seconds"), "soft", "hard")

@@ -166,7 +166,7 @@ def rule_engine(spark, sf):
 
 
 def _fired_sql(name: str, test: str) -> str:
-    return f"SELECT key, bar_epoch, '{name}' AS rule FROM rules WHERE {test}"
+    return f"SELECT key, bar_epoch, {name} AS rule FROM rules WHERE {test}"
 
 
 _FIRED = {
@@ -184,16 +184,32 @@ _FIRED = {
 }
 
 
+def _compound_sql(i: int) -> dict[str, str]:
+    """Name (an SQL expression) and test of one side's rules with several conditions or a count in their name."""
+    c, tag = {name: pair[i] for name, pair in _PAIRS.items()}, ("bull", "bear")[i]
+    net, structure = ("net_score", "-net_score")[i], ("hh_hl", "lh_ll")[i]
+    taken = f"greatest({c['swept']}, {c['sweep']})"
+    points = f"({c['ob']} * 3 + {c['gap']} * 2 + {taken} * 3 + {c['ote']} * 2 + {c['edge']} + {c['turn']} * 2)"
+    return {
+        f"'pin_bar_ob_{tag}'": f"{c['pin']} * greatest({c['ob']}, {c['gap']}) = 1",
+        f"'pd_array_{tag}_' || CAST({points} AS INTEGER)": f"{points} >= 5",
+        f"'smc_full_{tag}'": f"{taken} * {c['turn']} * greatest({c['ob']}, {c['gap']}) = 1",
+        f"'{structure}_key_level'": f"{c['struct']} * greatest({c['ob']}, {c['ote']}, {c['edge']}) = 1",
+        f"'role_reversal_{tag}_retest'": f"{c['role']} * greatest({c['pin']}, {c['eng']}) = 1",
+        f"'round_number_{tag}_reject'": f"round_number_near = 1 AND {net} > 30",
+        f"'momentum_{tag}_' || CAST({c['run']} AS INTEGER)": f"{c['run']} >= 3",
+    }
+
+
 @query(
     "rules_fired",
     with_(BARS, INDICATORS, Q.smc_sql("feat"), Q.inst_sql("smcn"), Q.reaction_sql("insts"), RULES.format(src="react"))
-    + " UNION ALL ".join(_fired_sql(n, t) for n, t in _FIRED.items()),
+    + " UNION ALL ".join(_fired_sql(n, t) for n, t in ({f"'{n}'": t for n, t in _FIRED.items()} | _compound_sql(0) | _compound_sql(1)).items()),
 )
 def rules_fired(spark, sf):
-    """The single-condition rules that fired, one row each."""
+    """All rules that fired, one row each."""
     df = K.rule_engine(_rule_frame(spark, sf).core())
-    fired = df.select("key", epoch(), F.explode("rules_fired").alias("rule"))
-    return fired.filter(F.col("rule").isin(*_FIRED))
+    return df.select("key", epoch(), F.explode("rules_fired").alias("rule"))
 
 
 DIR = f", dd AS (SELECT *, {C.GREEN_IF_UP} FROM {{src}})"

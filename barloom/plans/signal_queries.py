@@ -388,12 +388,18 @@ def problem_log(spark, sf):
 @query(
     "marker_dedupe",
     SIG
-    + "SELECT key, tf_sec, bar_epoch FROM (SELECT key, tf_sec, bar_epoch FROM sig UNION SELECT key, tf_sec, bar_epoch FROM sig WHERE utc_hour < 12) WHERE 1706659200 - bar_epoch <= 86400 * 2",
+    + """SELECT key, tf_sec, bar_epoch, arg_min(copy, arrival) AS copy FROM (SELECT key, tf_sec, bar_epoch, bar_epoch * 1000 AS arrival, 'first' AS copy FROM sig
+  UNION ALL SELECT key, tf_sec, bar_epoch, bar_epoch * 1000 + CASE WHEN utc_hour < 6 THEN -1 ELSE 1 END AS arrival, 'second' AS copy FROM sig WHERE utc_hour < 12)
+WHERE 1706659200 - bar_epoch <= 86400 * 2 GROUP BY ALL""",
 )
 def marker_dedupe(spark, sf):
-    rows = signals(spark, sf).select("key", "tf_sec", "bar_start", "utc_hour")
-    doubled = rows.unionByName(rows.filter("utc_hour < 12"))
-    return X.deduplicate_markers(doubled, as_of(), 86400 * 2).select("key", "tf_sec", epoch())
+    """The marker that arrived first for each bar; some bars have a second one that came earlier or later."""
+    rows = signals(spark, sf).withColumns({"seq": F.unix_timestamp("bar_start") * 1000, "copy": F.lit("first")})
+    rows = rows.select("key", "tf_sec", "bar_start", "utc_hour", "seq", "copy")
+    again = rows.filter("utc_hour < 12").withColumns(
+        {"seq": F.col("seq") + F.when(F.col("utc_hour") < 6, -1).otherwise(1), "copy": F.lit("second")}
+    )
+    return X.deduplicate_markers(rows.unionByName(again), as_of(), 86400 * 2).select("key", "tf_sec", epoch(), "copy")
 
 
 @query(
