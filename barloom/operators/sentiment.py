@@ -111,7 +111,10 @@ def synthetic_sentiment(f: Framed, lookback: int = 30, min_rows: int = 10) -> La
 
 
 def synthetic_multiplier(direction: Column, digits: int = 3) -> dict[str, Column]:
-    """Confidence multiplier and alignment of a direction with the synthetic sentiment columns."""
+    """Confidence multiplier and alignment of a direction with the synthetic sentiment columns.
+
+    The multiplier is rounded with a tiny nudge, so that exact ties go up.
+    """
     bias, strength = F.col("synth_signal_bias"), F.least(F.abs("synth_net_sentiment"), F.lit(0.5)) * 0.30
     aligned, tired = bias == direction, F.col("synth_exhaustion") > 0.5
     bonus = F.when(F.col("synth_divergence").isin("BULL", "BEAR"), 0.03).otherwise(0.0)
@@ -128,7 +131,7 @@ def synthetic_multiplier(direction: Column, digits: int = 3) -> dict[str, Column
         .when(aligned, "ALIGNED")
         .otherwise("OPPOSED")
     )
-    return {"synth_mult": F.round(mult, digits), "synth_align": label}
+    return {"synth_mult": F.round(mult + F.lit(1e-11), digits), "synth_align": label}
 
 
 def json_number(raw: Column, *names: str) -> Column:

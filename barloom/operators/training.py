@@ -27,12 +27,6 @@ def next_bar_label(f: Framed, ahead: int = 1) -> Layers:
     yield {"label": later.cast("int")}
 
 
-def training_rows(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Labelled rows with a feature vector."""
-    assembler = VectorAssembler(inputCols=list(names), outputCol="raw_features")
-    return assembler.transform(features.filter(F.col("label").isNotNull()))
-
-
 def sequence_windows(f: Framed, names: Sequence[str], length: int = 30) -> Layers:
     """`sequence`: the feature rows of the last `length` bars, oldest first; null before they are there."""
     step = F.array(*[F.col(n).cast("double") for n in names])
@@ -66,13 +60,16 @@ def retrain_cohorts(rows: DataFrame, every: int = 20, warmup: int = 150) -> Data
     return rows.withColumns({"cohort": F.when(F.col("rn") >= warmup, cohort), "retrain_due": due})
 
 
-def members(seed: int = 42) -> dict[str, object]:
-    """The six classifiers of the ensemble, each reading the scaled features."""
+def members(seed: int = 42, trees: int = 300, rounds: int = 40, step: float = 0.3) -> dict[str, object]:
+    """The six classifiers of the ensemble, each reading the scaled features.
+
+    Boosting rounds follow each other as jobs, so by default there are few with a long step; 400 and 0.03 are the slow way.
+    """
     common = {"featuresCol": "features", "labelCol": "label"}
     return {
-        "forest": RandomForestClassifier(numTrees=40, maxDepth=6, seed=seed, **common),
-        "extra": RandomForestClassifier(numTrees=40, maxDepth=8, featureSubsetStrategy="onethird", seed=seed + 1, **common),
-        "boosted": GBTClassifier(maxIter=10, maxDepth=4, seed=seed, **common),
+        "forest": RandomForestClassifier(numTrees=trees, maxDepth=8, minInstancesPerNode=5, maxMemoryInMB=1024, seed=seed, **common),
+        "extra": RandomForestClassifier(numTrees=trees, maxDepth=8, minInstancesPerNode=5, featureSubsetStrategy="onethird", maxMemoryInMB=1024, seed=seed + 1, **common),
+        "boosted": GBTClassifier(maxIter=rounds, maxDepth=5, stepSize=step, subsamplingRate=0.8, seed=seed, **common),
         "tree": DecisionTreeClassifier(maxDepth=5, seed=seed, **common),
         "logistic": LogisticRegression(maxIter=50, regParam=0.01, **common),
         "bayes": NaiveBayes(modelType="gaussian", **common),
@@ -167,27 +164,44 @@ def stacking_trigger(buffer: DataFrame, min_rows: int = 50, every: int = 25) ->
     return usable.groupBy("key", "n").agg(F.count(F.lit(1)).alias("usable")).withColumn("due", due)
 
 
-def fit_stack(rows: DataFrame, models: Sequence[str]) -> PipelineModel:
-    """Logistic regression over standardised model probabilities."""
-    return fit_member(rows, LogisticRegression(maxIter=100, featuresCol="features", labelCol="label"), models)
+def fit_stack(rows: DataFrame, models: Sequence[str], n_rows: int) -> PipelineModel:
+    """Logistic regression over standardised model probabilities, with a penalty of one unit over all rows."""
+    regression = LogisticRegression(maxIter=500, regParam=1.0 / max(n_rows, 1), standardization=False, featuresCol="features", labelCol="label")
+    return fit_member(rows, regression, models)
+
+
+def stacked(seen: DataFrame, rows: DataFrame, models: Sequence[str], mean: Column, min_rows: int = 50) -> DataFrame:
+    """`stacked` for `rows`, by the stack fitted on `seen`; the mean of the members below `min_rows` rows or one class."""
+    found = seen.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("classes")).first()
+    if found["n"] < min_rows or found["classes"] < 2:
+        return rows.withColumn("stacked", mean)
+    return probability(fit_stack(seen, models, found["n"]).transform(rows), "stacked")
 
 
 def fuse_stack(base: Column, stacked: Column) -> Column:
     return base * 0.60 + stacked * 0.40
 
 
-def fit_meta_labeler(rows: DataFrame, names: Sequence[str], seed: int = 42) -> PipelineModel:
-    """Forest that predicts whether the primary signal was right, classes weighted to balance."""
-    share = rows.agg(F.avg(F.col("label").cast("double"))).first()[0]
-    weighted = rows.withColumn("class_weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
+def meta_probability(seen: DataFrame, rows: DataFrame, names: Sequence[str], min_rows: int = 80, default: float = 0.75, seed: int = 42) -> DataFrame:
+    """`meta_prob` for `rows`: does a forest fitted on `seen`, classes weighted to balance, hold the signal for right?
+
+    `default` below `min_rows` rows or with one class only.
+    """
+    found = seen.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("label").cast("double")).alias("share")).first()
+    if found["n"] < min_rows or found["share"] in (0.0, 1.0):
+        return rows.withColumn("meta_prob", F.lit(default))
+    share = found["share"]
+    weighted = seen.withColumn("class_weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
     forest = RandomForestClassifier(
-        numTrees=200, maxDepth=6, seed=seed, featuresCol="features", labelCol="label", weightCol="class_weight"
+        numTrees=200, maxDepth=6, minInstancesPerNode=5, seed=seed, featuresCol="features", labelCol="label", weightCol="class_weight"
     )
-    return fit_member(weighted, forest, names)
+    return probability(fit_member(weighted, forest, names).transform(rows), "meta_prob")
 
 
 def model_status(accuracies: DataFrame, rows: DataFrame, min_rows: int = 150) -> DataFrame:
     """Per model: rows it could train on, whether that is enough, and its mean fold accuracy."""
     per_model = accuracies.groupBy("model").agg(F.avg("accuracy").alias("accuracy"), F.sum("n").alias("n_tested"))
-    n = rows.count()
-    return per_model.withColumns({"n_rows": F.lit(n), "trained": F.lit(n >= min_rows)})
+    # One row, joined to one row per model.
+    sizes = rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("_one", F.lit(1))
+    joined = per_model.withColumn("_one", F.lit(1)).join(sizes, "_one").drop("_one")
+    return joined.withColumn("trained", F.col("n_rows") >= min_rows)

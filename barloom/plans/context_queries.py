@@ -271,7 +271,7 @@ sm1 AS (SELECT *, least(abs(synth_net_sentiment), 0.5::DOUBLE) * 0.3::DOUBLE AS
   CASE WHEN synth_divergence <> 'NONE' THEN 0.03::DOUBLE ELSE 0 END AS bon FROM {src}),
 synm AS (SELECT *, round(CASE WHEN synth_signal_bias = 'NEUTRAL' THEN 1
     WHEN synth_signal_bias = direction AND synth_exhaustion > 0.5::DOUBLE THEN (1 + st + bon) * 0.92::DOUBLE
-    WHEN synth_signal_bias = direction THEN 1 + st + bon ELSE 1 - st END, 6) AS synth_mult,
+    WHEN synth_signal_bias = direction THEN 1 + st + bon ELSE 1 - st END + 1e-11::DOUBLE, 3) AS synth_mult,
   CASE WHEN synth_signal_bias = 'NEUTRAL' THEN 'NEUTRAL'
     WHEN synth_signal_bias = direction AND synth_exhaustion > 0.5::DOUBLE THEN 'ALIGNED_BUT_EXHAUSTED'
     WHEN synth_signal_bias = direction THEN 'ALIGNED' ELSE 'OPPOSED' END AS synth_align FROM sm1)"""
@@ -288,7 +288,7 @@ def synthetic_multiplier(spark, sf):
     f = indicator_frame(bars(spark, sf), ["moves"]).then(N.synthetic_sentiment)
     d = green_if_up()
     return f.core("key", epoch(), "close", "open", *N.SYNTHETIC, "synth_divergence", "synth_signal_bias").withColumns(
-        {"direction": d, **N.synthetic_multiplier(d, digits=6)}
+        {"direction": d, **N.synthetic_multiplier(d)}
     ).select("key", "bar_epoch", "direction", "synth_align", r("synth_mult").alias("synth_mult"))
 
 

@@ -429,7 +429,7 @@ def context(spark, sf):
 )
 def signal_scores(spark, sf):
     """Direction, layer points, staged confidence and grade of every bar."""
-    df = score(context(spark, sf), digits=6)
+    df = score(context(spark, sf))
     return df.select(
         "key", epoch(), "direction", "grade", "mtf_pts", "reaction_pts", "ai_pts", "consensus",
         *rounded("smc_pts", "green_weight", "red_weight", "layer_confidence", "checked_confidence", "confidence", digits=9),

@@ -76,7 +76,7 @@ decided AS (SELECT *, final_direction <> proposed AS direction_changed, least(0.
 
 
 def _scored(spark, sf):
-    return score(context(spark, sf), digits=6)
+    return score(context(spark, sf))
 
 
 @query("agent_votes", FULL + VOTES + f"SELECT key, bar_epoch, agent, vote, {rd('confidence', 'score', digits=9)} FROM votes")
