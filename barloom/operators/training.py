@@ -15,7 +15,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.series import Framed, Layers
@@ -201,7 +201,8 @@ def meta_probability(seen: DataFrame, rows: DataFrame, names: Sequence[str], min
 def model_status(accuracies: DataFrame, rows: DataFrame, min_rows: int = 150) -> DataFrame:
     """Per model: rows it could train on, whether that is enough, and its mean fold accuracy."""
     per_model = accuracies.groupBy("model").agg(F.avg("accuracy").alias("accuracy"), F.sum("n").alias("n_tested"))
-    # One row, joined to one row per model.
-    sizes = rows.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("_one", F.lit(1))
-    joined = per_model.withColumn("_one", F.lit(1)).join(sizes, "_one").drop("_one")
-    return joined.withColumn("trained", F.col("n_rows") >= min_rows)
+    # One more row tells the size; there are as many rows as models.
+    size = rows.agg(F.count(F.lit(1)).alias("n_rows"))
+    listed = per_model.unionByName(size, allowMissingColumns=True)
+    listed = listed.withColumn("n_rows", F.max("n_rows").over(Window.partitionBy(F.lit(1)))).filter(F.col("model").isNotNull())
+    return listed.withColumn("trained", F.col("n_rows") >= min_rows)
