@@ -288,6 +288,20 @@ def test_passages(docs, raw):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passage_repeated_in_a_text_has_a_row_for_each_place(spark):
+    rng = random.Random(3)
+    fill = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    rows = []
+    for k in range(6):
+        shared = fill(60)
+        # Once the text with the repeat has the lesser key, once the other one.
+        rows += [(2 * k, " ".join([fill(80), shared, fill(900), shared, fill(80)]), shared), (2 * k + 1, " ".join([fill(50), shared, fill(50)]), shared)]
+    got = rows_of(passages.repeated_passages(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string").repartition(2)))
+    for i, text, shared in rows:
+        want = {m.start() for m in re.finditer(shared, text)}
+        assert {r[1] for r in got if r[0] == i} == want and len(want) == 1 + (i % 2 == 0)
+
+
 def test_compact_windows_are_cartesian_tree_nodes():
     rng = np.random.default_rng(0)
     for _ in range(60):
