@@ -288,6 +288,18 @@ def test_passages(docs, raw):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passage_is_found_behind_wording_that_many_texts_share(spark):
+    rng = random.Random(4)
+    fill = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    stock = fill(46)
+    # All texts have the stock wording, only two each have what follows too.
+    rows = [(i, " ".join([fill(70), stock, fill(70)])) for i in range(60)]
+    rows += [(100 + 2 * k + j, " ".join([fill(70), passage, fill(70)])) for k in range(12) for passage in [stock + " " + fill(8)] for j in range(2)]
+    got = rows_of(passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+    assert {tuple(sorted((r[0], r[4]))) for r in got if r[3] >= 54} == {(100 + 2 * k, 101 + 2 * k) for k in range(12)}
+    assert {r[0] for r in got} == {i for i, _ in rows if i >= 100}
+
+
 def test_passage_repeated_in_a_text_has_a_row_for_each_place(spark):
     rng = random.Random(3)
     fill = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
