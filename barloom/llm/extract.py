@@ -84,7 +84,9 @@ class Leaves(HTMLParser):
             self.open.append((tag, tuple(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named).lower()))[:12]))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        # A self-closed silent element has nothing inside.
+        if tag not in SILENT:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if self.silent:
@@ -251,7 +253,7 @@ def fit(pages: list[str], seed: int = 1) -> Field:
         for _ in range(4):
             new = restyled(blocks, labels, rng)
             data.append((new, labels + [0] * (len(new) - len(labels))))
-    rows = [([features(b, memo) for b in blocks[:400]], np.array(labels[:400])) for blocks, labels in data]
+    rows = [([features(b, memo) for b in blocks], np.array(labels)) for blocks, labels in data]
     for k in range(PASSES):
         rng.shuffle(rows)
         for r, y in rows:
@@ -264,9 +266,17 @@ def page_text(html: str, field: Field, memo: dict[tuple, list[int]]) -> str:
     return "\n".join(b.text for b, y in zip(blocks, field.decode([features(b, memo) for b in blocks]), strict=True) if y)
 
 
+def names_main_part() -> str:
+    """Pattern of markup that names the main part: its elements, or names in classes, ids and the like as `Leaves` splits them."""
+    names = "|".join(CONTENT_NAMES)
+    capital = "|".join(n.capitalize() for n in CONTENT_NAMES)
+    word = rf"(?:(?<![A-Za-z])(?i:{names})|(?<=[a-z])(?:{capital}))(?![a-z])"
+    return rf"""(?i:<(?:article|main)[\s>])|<[^>]*\s(?i:class|id|role|itemprop)\s*=\s*(?:"[^"]*{word}|'[^']*{word}|[^\s"'>]*{word})"""
+
+
 def labelled_pages(pages: DataFrame) -> list[str]:
     """A bounded sample: pages whose markup names its main part, by the least hash in each of SAMPLE_PAGES places."""
-    rows = pages.filter(F.col("html").rlike(r"(?i)<(article|main)[\s>]") & (F.length("html") <= SAMPLE_CHARS)).select(F.xxhash64("html").alias("h"), "html")
+    rows = pages.filter(F.col("html").rlike(names_main_part()) & (F.length("html") <= SAMPLE_CHARS)).select(F.xxhash64("html").alias("h"), "html")
     picks = rows.groupBy(F.pmod("h", F.lit(SAMPLE_PAGES)).alias("place")).agg(F.min("h").alias("h")).select("h")
     found = rows.join(F.broadcast(picks), "h").groupBy("h").agg(F.min("html").alias("html")).collect()
     return [r["html"] for r in sorted(found, key=lambda r: r["h"])]

@@ -288,6 +288,16 @@ def test_passages(docs, raw):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_self_closed_silent_elements_hide_nothing():
+    for icon in ('<svg class="i"/>', '<script src="a.js"/>', '<iframe src="b"/>', "<svg><style/><svg/></svg>"):
+        assert [b.text for b in extract.leaves(f"<body>{icon}<article><p>one two</p></article>{icon}<p>three</p></body>")] == ["one two", "three"]
+
+
+def test_pages_that_name_their_main_part_by_class_are_learnt_from(spark):
+    rows = [(1, "<div class='postContent'><p>a b</p></div>"), (2, '<div id="entry"><p>c</p></div>'), (3, "<div class=main_x><p>d</p></div>"), (4, '<div class="context"><p>e</p></div>'), (5, "<p>main</p>"), (6, "<main>f</main>")]
+    assert {r[1] for r in rows if r[0] in (1, 2, 3, 6)} == set(extract.labelled_pages(spark.createDataFrame(rows, "page_id bigint, html string")))
+
+
 def test_passage_is_found_behind_wording_that_many_texts_share(spark):
     rng = random.Random(4)
     fill = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
