@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, extract, language, lines, maxent, mixing, passages, rules, shards, simhash
+from barloom.llm import alignment, decontaminate, extract, fingerprints, language, lines, maxent, merkle, mixing, passages, rules, shards, simhash, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,13 +61,31 @@ def op10_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.likeness_of_documents(table(spark, sf, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_lm_scores, op2_shards, op3_main_text, op4_mixture, op5_language, op6_rules, op7_simhash, op8_decontamination, op9_site_lines, op10_passages)
-}
+    f.__name__: f
+    for f in (
+        op1_lm_scores, op2_shards, op3_main_text, op4_mixture, op5_language, op6_rules, op7_simhash, op8_decontamination, op9_site_lines,
+        op10_passages, op11_merkle, op12_fingerprints, op13_alignment,
+    )
+}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op11_merkle": sql.MERKLE,
+    "op12_fingerprints": sql.FINGERPRINTS,
     "op8_decontamination": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
 it AS (SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item_id, {_WORDS} AS w FROM benchmark),
