@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.sessions import threshold_session
+from barloom.operators.joins import asof_join
 from barloom.operators.series import frame, number_rows, prefix_scan, time_block
 
 BASE, CEILING = 0.62, 0.85
@@ -112,6 +113,19 @@ def current_thresholds(history: DataFrame) -> DataFrame:
     ).select(*BUCKET, "_t.*")
 
 
+def threshold_asof(rows: DataFrame, history: DataFrame, block_seconds: int = 86400 * 30) -> DataFrame:
+    """rows with the `threshold` of their own bucket as it stood when their bar closed; the base where none was learnt.
+
+    rows: key, tf_sec, bar_start, utc_hour, adx. history: what `adaptive_threshold` returns, with `settled_at`. An outcome counts
+    from its settlement on; one that settles as the bar closes is known to it. Several that settle at once count in order.
+    """
+    step = F.struct("settled_at", "wins", "losses", "threshold")
+    newest = history.groupBy(*BUCKET, "settled_at").agg(F.max_by(step, F.col("wins") + F.col("losses")).alias("_s")).select(*BUCKET, "settled_at", "_s.threshold")
+    ended = threshold_buckets(rows).withColumn("_end", F.timestamp_seconds(F.unix_timestamp("bar_start") + F.col("tf_sec")))
+    known = asof_join(ended, newest, list(BUCKET), "_end", "settled_at", block_seconds, name="_known")
+    return known.withColumn("threshold", F.coalesce("_known.threshold", F.lit(BASE))).drop("_known", "_end")
+
+
 def credited(votes: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Which voters were right: with the signal when it won, against it when it lost."""
     settled = outcomes.filter(F.col("outcome").isin("WIN", "LOSS")).select("key", "bar_start", "direction", "outcome")

@@ -2,6 +2,7 @@
 
 from barloom.plans import (
     bar_queries,
+    chain_queries,
     context_queries,
     indicator_queries,
     model_queries,
