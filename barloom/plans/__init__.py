@@ -4,6 +4,7 @@ from barloom.plans import (
     bar_queries,
     chain_queries,
     context_queries,
+    ensemble_queries,
     indicator_queries,
     model_queries,
     score_queries,
