@@ -155,9 +155,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     A text moves once, to its cell of neighbouring ids, where its fingerprints are made without another shuffle; only the rows at the
     ends of cells are completed by a join of these. Rows with a null id share one cell, which Spark sorts and spills.
     """
-    doc_id = F.col("doc_id").cast("bigint")
+    doc_id = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("bigint").alias("doc_id")
     cell = F.coalesce(F.shiftright(doc_id, CELL_BITS), F.lit(-(1 << 62)))
-    rows = docs.select(doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), cell.alias("cell"))
+    rows = docs.select(doc_id, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), cell.alias("cell"))
     inside = Window.partitionBy("cell").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     placed = rows.select("*", F.lead("text").over(inside).alias("following"), F.lag("cell").over(inside).alias("earlier"), F.row_number().over(inside).alias("place"))
     keys = ["cell", "place", "doc_id", "next_cell", "next_place"]
