@@ -31,6 +31,8 @@ FREQUENT = 1 << 18
 #: Pairs of a task that are counted together, and links of one group above which its ids are counted before they are paired.
 HELD_PAIRS, LARGE_GROUP = 4_000_000, 1_000_000
 
+_DECIMAL = [str(i) for i in range(1 << 16)]
+
 Encode = Callable[[list[str]], list[list[int]]]
 
 
@@ -80,27 +82,26 @@ def piece_level(raw: bytes) -> tuple[Encode, list[bytes]]:
 # Groups
 
 
-def groups(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> tuple[list[int], list[int]]:
+def groups(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[list[int], list[int]]:
     """Ends of the groups in both id lists: the places where a token of each ends at the same byte."""
-    at_a = dict(zip(np.cumsum(size_a[a]).tolist(), range(1, len(a) + 1), strict=True))
-    at_b = dict(zip(np.cumsum(size_b[b]).tolist(), range(1, len(b) + 1), strict=True))
+    at_a = dict(zip(size_a[a].cumsum().tolist(), range(1, len(a) + 1), strict=True))
+    at_b = dict(zip(size_b[b].cumsum().tolist(), range(1, len(b) + 1), strict=True))
     common = sorted(at_a.keys() & at_b.keys())
-    return [at_a[e] for e in common], [at_b[e] for e in common]
+    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
 
 
 def listing(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> str:
     """The groups as text: `a1,a2|b1;a3|b2,b3`."""
-    own, other = list(map(str, a)), list(map(str, b))
-    out, p, q = [], 0, 0
-    for i, j in zip(ends_a, ends_b, strict=True):
-        out.append(f"{own[p]}|{other[q]}" if i == p + 1 and j == q + 1 else f"{','.join(own[p:i])}|{','.join(other[q:j])}")
-        p, q = i, j
-    return ";".join(out)
+
+    def side(ids: list[int], ends: list[int]) -> list[str]:
+        names = list(map(_DECIMAL.__getitem__, ids))
+        return [names[p] if q == p + 1 else ",".join(names[p:q]) for p, q in zip([0, *ends], ends, strict=False)]
+
+    return ";".join(map("|".join, zip(side(a, ends_a), side(b, ends_b), strict=True)))
 
 
-def links(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def links(x: np.ndarray, y: np.ndarray, ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs (A id * 65536 + B id) that the groups link, in order, and how often each is linked."""
-    x, y = np.array(a, np.uint32), np.array(b, np.uint32)
     end_a, end_b = np.array(ends_a, np.int64), np.array(ends_b, np.int64)
     start_a, start_b = np.concatenate([[0], end_a[:-1]]), np.concatenate([[0], end_b[:-1]])
     n_a, n_b = end_a - start_a, end_b - start_b
@@ -149,8 +150,9 @@ def aligned(docs: DataFrame, raw_a: bytes, raw_b: bytes) -> DataFrame:
                 if not text or b"".join(map(bytes_a.__getitem__, a)) != whole or b"".join(map(bytes_b.__getitem__, b)) != whole:
                     out.append((0, 0, 0, 0, "", b"", b""))
                     continue
-                ends = groups(a, b, size_a, size_b)
-                pair, times = links(a, b, *ends)
+                x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+                ends = groups(x, y, size_a, size_b)
+                pair, times = links(x, y, *ends)
                 digest = sha256(listing(a, b, *ends).encode()).hexdigest()
                 out.append((len(a), len(b), len(ends[0]), int(times.sum()), digest, pair.tobytes(), times.astype("<u4").tobytes()))
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
