@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.series import number_rows
+from barloom.operators.series import BLOCK_ROWS, KEYS, frame, number_rows
 
 LEVELS = 50
 LOOKBACK = 500
@@ -93,6 +95,57 @@ def histogram(bars: DataFrame, points: DataFrame, lookback: int = LOOKBACK, min_
     )
 
 
+def sliding_levels(low: np.ndarray, high: np.ndarray, volume: np.ndarray, rows: np.ndarray, lookback: int) -> list[tuple[float, float, np.ndarray] | None]:
+    """Bounds and volumes by level of the window that ends at each of the rows; None where all prices are one.
+
+    The level edges move with the window's bounds. A bar covers a run of levels, so its share enters a difference array at the
+    run's first level and leaves it after the last; one running sum over the levels then gives all volumes.
+    """
+    out, middle = [], np.arange(LEVELS) + 0.5
+    for j in rows:
+        i = max(0, j - lookback + 1)
+        lows, highs = low[i : j + 1], high[i : j + 1]
+        bottom, top = lows.min(), highs.max()
+        if not top > bottom:
+            out.append(None)
+            continue
+        centres = bottom + middle * ((top - bottom) / LEVELS)
+        first, after = np.searchsorted(centres, lows, "left"), np.searchsorted(centres, highs, "right")
+        n = after - first
+        share = np.where(n > 0, volume[i : j + 1] / np.maximum(n, 1), 0.0)
+        change = np.bincount(first, share, LEVELS + 1) - np.bincount(after, share, LEVELS + 1)
+        # Rounding makes levels with the same bars exactly equal, whatever the order of the sums.
+        out.append((bottom, top, np.round(np.cumsum(change)[:LEVELS], 9) + 0.0))
+    return out
+
+
+def histogram_per_bar(bars: DataFrame, lookback: int = LOOKBACK, min_rows: int = 20, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """keys, bar_start, rn, price (close), low, high and volumes of every bar's own last `lookback` bars.
+
+    low, high and volumes are null before `min_rows` bars, and where all prices of the window are one. Bars are dealt to blocks
+    with the bars that the first windows reach back to, so a task holds one block, whatever the length of the series.
+    """
+    amount = F.coalesce(F.nanvl(F.col("volume").cast("double"), F.lit(1.0)), F.lit(1.0)) if "volume" in bars.columns else F.lit(1.0)
+    prices = [F.col(c).cast("double").alias(name) for c, name in (("close", "price"), ("low", "low"), ("high", "high"))]
+    numbered = number_rows(bars).select(*KEYS, "bar_start", "rn", *prices, amount.alias("volume"))
+    dealt = frame(numbered, back=lookback, block_rows=block_rows).df
+    kept = ["key", "tf_sec", "bar_start", "rn", "price"]
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        low, high, volume, rn = (table.column(c).to_numpy() for c in ("low", "high", "volume", "rn"))
+        own = np.flatnonzero(table.column("_core").to_numpy(zero_copy_only=False))
+        full = own[rn[own] >= min_rows - 1]
+        found = dict(zip(full.tolist(), sliding_levels(low, high, volume, full, lookback), strict=True))
+        parts = [found.get(j) or (None, None, None) for j in own.tolist()]
+        columns = [table.column(c).take(own) for c in kept]
+        made = [pa.array([p[k] for p in parts], pa.float64()) for k in (0, 1)]
+        return pa.Table.from_arrays([*columns, *made, pa.array([p[2] for p in parts], pa.list_(pa.float64()))], [*kept, "low", "high", "volumes"])
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in numbered.dtypes if c in kept) + ", low double, high double, volumes array<double>"
+    return dealt.select(*kept, "low", "high", "volume", "_core", "_blk").groupBy(*KEYS, "_blk").applyInArrow(one, schema)
+
+
 def level_price(i: Column) -> Column:
     return F.col("low") + (i + 0.5) * ((F.col("high") - F.col("low")) / LEVELS)
 

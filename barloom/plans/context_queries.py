@@ -21,10 +21,13 @@ from barloom.sources.samples import bars, table, volume_bars
 # ---------------------------------------------------------------- volume profile
 
 
-def profile_sql(daily: bool) -> str:
-    snaps = "SELECT key, max(rn) AS snap FROM b GROUP BY key"
-    if daily:
-        snaps = "SELECT key, max(rn) AS snap FROM b GROUP BY key, bar_epoch // 86400"
+def profile_sql(snapshots: str) -> str:
+    """Profiles (vpn) at each series' newest bar, at the last bar of each day, or at every bar."""
+    snaps = {
+        "newest": "SELECT key, max(rn) AS snap FROM b GROUP BY key",
+        "daily": "SELECT key, max(rn) AS snap FROM b GROUP BY key, bar_epoch // 86400",
+        "every": "SELECT key, rn AS snap FROM b",
+    }[snapshots]
     centre = "(lo + (i + 0.5::DOUBLE) * ((hi - lo) / 50))"
     return f""",
 pts AS ({snaps}),
@@ -61,7 +64,7 @@ def classify_sql(price: str = "price") -> str:
 
 @query(
     "volume_profile",
-    with_(VOLUME_BARS, NUMBERED, profile_sql(False))
+    with_(VOLUME_BARS, NUMBERED, profile_sql("newest"))
     + f""", u AS (SELECT key, lo, hi, total, unnest(range(0, 50)) AS level, unnest(vs) AS volume FROM vpn),
 k AS (SELECT *, volume > total / 50 * 1.5::DOUBLE AS is_hvn, volume < total / 50 * 0.5::DOUBLE AS is_lvn,
   lo + (level + 0.5::DOUBLE) * ((hi - lo) / 50) AS price FROM u)
@@ -85,7 +88,7 @@ def volume_profile(spark, sf):
 
 @query(
     "value_area_daily",
-    with_(BARS, NUMBERED, profile_sql(True))
+    with_(BARS, NUMBERED, profile_sql("daily"))
     + f""", j AS (SELECT v.*, b.close AS price, b.bar_epoch FROM vpn v JOIN b ON b.key = v.key AND b.rn = v.snap),
 o AS (SELECT key, bar_epoch, poc, vah, val, {classify_sql()} AS vp_zone,
   coalesce(list_min(list_filter(hvn, lambda n: n > price)), vah) AS vp_hvn_resistance,
@@ -573,6 +576,22 @@ def price_filter(spark, sf):
     )
 
 
+@query(
+    "profile_per_bar",
+    with_(BARS, NUMBERED, profile_sql("every"))
+    + f""", j AS (SELECT v.*, b.key AS k, b.close AS price, b.bar_epoch FROM b LEFT JOIN vpn v ON v.key = b.key AND v.snap = b.rn),
+o AS (SELECT k AS key, bar_epoch, poc, vah, val, {classify_sql()} AS vp_zone,
+  coalesce(list_min(list_filter(hvn, lambda n: n > price)), vah) AS vp_hvn_resistance,
+  coalesce(list_min(list_filter(hvn, lambda n: n < price)), val) AS vp_hvn_support,
+  coalesce(abs(price - poc) / greatest(abs(poc) * 0.0001::DOUBLE, 1e-8::DOUBLE) < 5, false) AS vp_at_poc FROM j)
+SELECT key, bar_epoch, vp_zone, vp_at_poc, {rd('poc', 'vah', 'val', 'vp_hvn_resistance', 'vp_hvn_support')} FROM o""",
+)
+def profile_per_bar(spark, sf):
+    """Every bar classed against the profile of its own last 500 bars."""
+    p = V.classify(V.profile(V.histogram_per_bar(bars(spark, sf))))
+    return p.select("key", epoch(), "vp_zone", "vp_at_poc", *rounded("poc", "vah", "val", "vp_hvn_resistance", "vp_hvn_support"))
+
+
 # ---------------------------------------------------------------- sessions and news
 
 

@@ -12,7 +12,6 @@ from barloom.operators import voting as G
 from barloom.operators import zones as Z
 from barloom.operators.analysis import analyse, score
 from barloom.operators.indicators import indicator_frame
-from barloom.operators.joins import asof_join
 from barloom.operators.mtf import boost_table, timeframe_agreement
 from barloom.operators.series import number_rows
 from barloom.operators.structure import FINDINGS, FOUNDATIONS, LOOKBACK, scores
@@ -320,7 +319,7 @@ CONTEXT = (
     + C.STATES
     + C.NEAR
     + C.BEST_ZONE
-    + C.profile_sql(True)
+    + C.profile_sql("every")
     + C.MOOD
     + C.MOOD_ASOF
     + C.FLOW
@@ -334,8 +333,7 @@ kal AS (
     (1 - (kal.p + 1e-5::DOUBLE) / (kal.p + 1e-5::DOUBLE + 0.01::DOUBLE)) * (kal.p + 1e-5::DOUBLE)
   FROM kal JOIN b ON b.key = kal.key AND b.rn = kal.rn + 1),
 kt AS (SELECT key, bar_epoch, coalesce(x - lag(x, 2) {S}, 0) AS kvel FROM kal),
-vps AS (SELECT v.key, poc, vah, val, hvn, lvn, b.bar_epoch + 3600 AS known FROM vpn v JOIN b ON b.key = v.key AND b.rn = v.snap),
-vpj AS (SELECT b.key, b.bar_epoch, b.close, s.poc, s.vah, s.val, s.hvn, s.lvn FROM b ASOF LEFT JOIN vps s ON s.key = b.key AND b.bar_epoch + 3600 >= s.known),
+vpj AS (SELECT b.key, b.bar_epoch, b.close, v.poc, v.vah, v.val, v.hvn, v.lvn FROM b LEFT JOIN vpn v ON v.key = b.key AND v.snap = b.rn),
 vpz AS (SELECT key, bar_epoch, {C.classify_sql('close')} AS vp_zone,
   coalesce(abs(close - poc) / greatest(abs(poc) * 0.0001::DOUBLE, 1e-8::DOUBLE) < 5, false) AS vp_at_poc FROM vpj),
 ctx AS (SELECT spike.*, m.mtf_direction, m.mtf_agreement, m.killzone, m.tf60_bias, m.tf15_bias, m.tf5_bias, m.tf2_bias,
@@ -399,14 +397,8 @@ def context(spark, sf):
     wide = cut_lineage(analyse(source))
     on = ["key", "tf_sec", "bar_start"]
     numbered = number_rows(source)
-    profiles = V.profile(V.histogram(numbered, V.last_bar_per_day(numbered)))
-    known = F.timestamp_seconds(F.unix_timestamp("snap_start") + F.col("tf_sec"))
-    profiles = profiles.select("key", "tf_sec", known.alias("known_at"), "poc", "vah", "val", "hvn", "lvn")
     plain = source.select(*on, "close")
-    ended = plain.withColumn("bar_end", F.timestamp_seconds(F.unix_timestamp("bar_start") + F.col("tf_sec")))
-    placed = asof_join(ended, profiles, ["key", "tf_sec"], "bar_end", "known_at", 86400 * 30, name="vp")
-    flat = placed.select(*on, "close", *[F.col(f"vp.{c}").alias(c) for c in ("poc", "vah", "val", "hvn", "lvn")])
-    profile = V.classify(flat, "close").select(*on, "vp_zone", "vp_at_poc")
+    profile = V.classify(V.profile(V.histogram_per_bar(source))).select(*on, "vp_zone", "vp_at_poc")
     states = Z.zone_states(Z.touches(numbered, F.lit(C.ZONE)))
     zones = Z.best_zone(plain, Z.zones_near(source, states, F.lit(C.ZONE))).select(*on, "rz_score", "rz_signal")
     frames = timeframe_agreement(source, 3600).select(
