@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -50,27 +51,109 @@ def tick_bars(ticks: DataFrame, tf_sec: int, lateness: str = "10 minutes") -> Da
     )
 
 
+_BAR = ["key", "tf_sec", "bar_start", "open", "high", "low", "close", "n_ticks"]
+
+
+def _carried(name: str, tf: int, bars: pd.DataFrame, last_start: int | None, last_close: float | None, until: int | None = None, rows: int = 100_000) -> Iterator[pd.DataFrame]:
+    """Bars (start in seconds, in order) opened at the previous close, with flat bars for the intervals between, in slices.
+
+    Flat bars also follow the last bar up to, not including, `until`. A long gap comes in slices of so many rows.
+    """
+    starts = bars["start"].to_numpy(np.int64)
+    before = np.concatenate([[np.nan if last_close is None else last_close], bars["close"].to_numpy(float)])[:-1]
+    own = bars.assign(open=np.where(np.isnan(before), bars["open"], before), high=np.fmax(bars["high"], before), low=np.fmin(bars["low"], before))
+    edges = np.concatenate([[last_start] if last_start is not None else [], starts, [until] if until is not None else []]).astype(np.int64)
+    closes = np.concatenate([[last_close] if last_start is not None else [], bars["close"].to_numpy(float)])
+    n_flat = np.maximum(np.diff(edges) // tf - 1, 0)
+    done = 0
+    for i in range(len(n_flat)):  # one step for each bar of the batch that a gap follows, or the whole run without gaps
+        if n_flat[i] == 0:
+            continue
+        at = np.searchsorted(starts, edges[i], "right")
+        yield own.iloc[done:at]
+        done = at
+        for first in range(0, int(n_flat[i]), rows):
+            flat = edges[i] + tf * (1 + np.arange(first, min(first + rows, int(n_flat[i]))))
+            yield pd.DataFrame({"start": flat} | {c: closes[i] for c in ("open", "high", "low", "close")} | {"n_ticks": 0})
+    yield own.iloc[done:]
+
+
+def _shaped(name: str, tf: int, part: pd.DataFrame) -> pd.DataFrame:
+    return part.assign(key=name, tf_sec=tf, bar_start=pd.to_datetime(part["start"], unit="s"))[_BAR]
+
+
 def _carry(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Open each bar of one series at the previous close and fill the intervals without ticks."""
     bars = pd.concat(list(batches)).sort_values("bar_start")
     name, tf = key
-    last_sec, last_close = state.get if state.exists else (None, None)
-    rows = []
-    starts = (bars["bar_start"] - pd.Timestamp(0)) // pd.Timedelta(seconds=1)
-    for sec, bar in zip(starts, bars.itertuples(index=False)):
-        sec = int(sec)
-        if last_sec is not None:
-            gap = range(last_sec + tf, sec, tf)
-            rows += [(name, tf, s, last_close, last_close, last_close, last_close, 0) for s in gap]
-            low, high = min(bar.low, last_close), max(bar.high, last_close)
-            rows.append((name, tf, sec, last_close, high, low, bar.close, bar.n_ticks))
-        else:
-            rows.append((name, tf, sec, bar.open, bar.high, bar.low, bar.close, bar.n_ticks))
-        last_sec, last_close = sec, float(bar.close)
-    state.update((last_sec, last_close))
-    out = pd.DataFrame(rows, columns=["key", "tf_sec", "bar_start", "open", "high", "low", "close", "n_ticks"])
-    out["bar_start"] = pd.to_datetime(out["bar_start"], unit="s")
-    yield out
+    last_start, last_close = state.get if state.exists else (None, None)
+    bars = bars.assign(start=(bars["bar_start"] - pd.Timestamp(0)) // pd.Timedelta(seconds=1))
+    state.update((int(bars["start"].iloc[-1]), float(bars["close"].iloc[-1])))
+    for part in _carried(name, tf, bars, last_start, last_close):
+        if len(part):
+            yield _shaped(name, tf, part)
+
+
+OPEN_BAR = ("start", "first_seq", "open", "high", "low", "last_seq", "close", "n_ticks")
+CLOSING_STATE = ", ".join(f"{c} array<{'double' if c in ('open', 'high', 'low', 'close') else 'bigint'}>" for c in OPEN_BAR) + ", last_start bigint, last_close double, last_tick bigint"
+
+
+def _merged(parts: pd.DataFrame) -> pd.DataFrame:
+    """Parts of bars with the same start as one bar each; the first and last prices by arrival."""
+    by_first, by_last = (parts.sort_values(c).groupby("start") for c in ("first_seq", "last_seq"))
+    return pd.DataFrame(
+        {
+            "first_seq": by_first["first_seq"].first(), "open": by_first["open"].first(), "high": by_first["high"].max(), "low": by_first["low"].min(),
+            "last_seq": by_last["last_seq"].last(), "close": by_last["close"].last(), "n_ticks": by_last["n_ticks"].sum(),
+        }
+    ).reset_index()
+
+
+def closing_bars(ticks: DataFrame, tf_sec: int, lateness: str = "10 minutes", idle_seconds: int = 86400) -> DataFrame:
+    """Carried and gap-free bars of a tick stream, each written as the watermark passes its end, whether a tick follows or not.
+
+    A timer at the next bar's end closes it: a silent series gets a flat bar at every boundary until it has been silent for
+    `idle_seconds`; what is missing then follows with its next tick. The state of a series is one row: its bars that are still
+    open (as many as the lateness holds), the last closed one and the time of the last tick. Ticks behind the watermark are
+    dropped. A series without any tick has no bars. Append mode.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (name,) = key
+        *held, last_start, last_close, last_tick = state.get if state.exists else ([],) * len(OPEN_BAR) + (None, None, None)
+        parts = [pd.DataFrame(dict(zip(OPEN_BAR, held, strict=True)))]
+        for batch in batches:
+            if len(batch):
+                sec = ((batch["ts"] - pd.Timestamp(0)) // pd.Timedelta(seconds=1)).astype("int64")
+                part = pd.DataFrame({"start": sec // tf_sec * tf_sec, "first_seq": batch["seq"], "last_seq": batch["seq"], "n_ticks": 1} | {c: batch["price"] for c in ("open", "high", "low", "close")})
+                parts.append(_merged(part))
+                last_tick = max(int(sec.max()), last_tick or 0)
+        bars = _merged(pd.concat([p for p in parts if len(p)])) if any(len(p) for p in parts) else parts[0]
+        if last_start is not None:
+            bars = bars[bars["start"] > last_start]
+        now = state.getCurrentWatermarkMs() // 1000
+        ended = bars["start"] + tf_sec <= now
+        closed, opened = bars[ended], bars[~ended]
+        out = []
+        if len(closed) or last_start is not None:
+            # Flat bars run to the first open bar, or to what the watermark has passed and the series is not too long silent for.
+            quiet = min(now // tf_sec * tf_sec, (last_tick + idle_seconds) // tf_sec * tf_sec)
+            newest = int(closed["start"].iloc[-1]) if len(closed) else last_start
+            until = max(newest + tf_sec, min(quiet, int(opened["start"].min()) if len(opened) else quiet))
+            if len(closed) or until > newest + tf_sec:
+                out = _carried(name, tf_sec, closed, last_start, last_close, until)
+                last_close = float(closed["close"].iloc[-1]) if len(closed) else last_close
+                last_start = until - tf_sec
+        state.update((*([x.item() for x in opened[c].to_numpy()] for c in OPEN_BAR), last_start, last_close, last_tick))
+        following = int(opened["start"].min()) if len(opened) else last_start + tf_sec
+        if len(opened) or following < last_tick + idle_seconds:
+            state.setTimeoutTimestamp(max((following + tf_sec) * 1000, state.getCurrentWatermarkMs() + 1))
+        for part in out:
+            if len(part):
+                yield _shaped(name, tf_sec, part)
+
+    plain = ticks.select("key", "ts", "seq", "price").withWatermark("ts", lateness)
+    return plain.groupBy("key").applyInPandasWithState(run, CARRIED, CLOSING_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def carried_bars(bars: DataFrame) -> DataFrame:

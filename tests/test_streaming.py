@@ -87,6 +87,49 @@ def test_carried_and_filled_stream_equals_batch(spark, tmp_path, no_state_left):
     assert got.exceptAll(batch).count() == 0 and batch.exceptAll(got).count() == 0
 
 
+def by_key(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault(r.key, {})[int(r.bar_start.timestamp())] = (r.open, r.high, r.low, r.close, r.n_ticks)
+    return out
+
+
+def test_silent_series_close_their_bars(spark, tmp_path, no_state_left):
+    """No tick of a or b arrives after their last ones; their bars close all the same, then flat ones follow until too long idle."""
+    rows = tick_rows(300)
+    last = {k: max(int(r[1].timestamp()) for r in rows if r[0] == k) for k in "ab"}
+    clock = [("z", at(1704067200 + 4200 + 60 * i), 10**6 + i, 1.0) for i in range(120)]
+    stream = stream_of(spark, rows + clock, TICKS, str(tmp_path / "in"), files=5)
+    got = by_key(drain(S.closing_bars(stream, 60, "1 minute", idle_seconds=3000), "closing"))
+    want = by_key(fill_gaps(carry_open(ohlc(spark.createDataFrame(rows, TICKS), 60))))
+    for key in "ab":
+        starts = sorted(got[key])
+        assert starts == list(range(starts[0], starts[-1] + 60, 60))
+        assert {s: v for s, v in got[key].items() if s in want[key]} == want[key]
+        assert starts[-1] == (last[key] + 3000) // 60 * 60 - 60
+        close = want[key][max(want[key])][3]
+        assert all(got[key][s] == (close, close, close, close, 0) for s in starts if s not in want[key])
+
+
+def test_closing_bars_do_not_depend_on_batches(spark, tmp_path, no_state_left):
+    rows = tick_rows()
+    shuffled = [rows[i + d] for i in range(0, len(rows), 4) for d in (2, 0, 3, 1)]
+    runs = []
+    for i, (data, files) in enumerate(((rows, 1), (shuffled, 7))):
+        stream = stream_of(spark, data + PUSH, TICKS, str(tmp_path / f"in{i}"), files=files)
+        runs.append(by_key(drain(S.closing_bars(stream, 60, "2 minutes", idle_seconds=600), f"closing_{i}").filter("key != 'z'")))
+    assert runs[0] == runs[1] and sum(map(len, runs[0].values())) > 150
+
+
+def test_long_gaps_come_in_slices():
+    bars = pd.DataFrame({"start": [60, 600_060], "open": [1.0, 2.0], "high": [3.0, 2.5], "low": [0.5, 2.0], "close": [1.5, 2.2], "n_ticks": [4, 2]})
+    parts = list(S._carried("a", 60, bars, None, None, rows=1000))
+    assert max(map(len, parts)) == 1000
+    whole = pd.concat(parts)
+    assert whole["start"].tolist() == list(range(60, 600_120, 60)) and whole["n_ticks"].sum() == 6
+    assert whole.iloc[-1].tolist()[1:5] == [1.5, 2.5, 1.5, 2.2]
+
+
 def test_open_bars_come_in_update_mode(spark, tmp_path):
     stream = stream_of(spark, tick_rows(60), TICKS, str(tmp_path / "in"), files=4)
     got = drain(S.tick_bars(stream, 3600), "bars_d", mode="update")
