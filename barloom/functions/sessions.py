@@ -27,10 +27,24 @@ def flag(condition: Column) -> Column:
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
 
 
-def market_open(ts: Column) -> Column:
-    """Open from Sunday 21:00 to Friday 21:00."""
+# Symbols that start or end so never close.
+OPEN_STARTS, OPEN_ENDS = ("BTC", "ETH"), ("USDT",)
+
+
+def never_closes(symbol: Column) -> Column:
+    found = F.lit(False)
+    for start in OPEN_STARTS:
+        found = found | symbol.startswith(start)
+    for end in OPEN_ENDS:
+        found = found | symbol.endswith(end)
+    return F.coalesce(found, F.lit(False))
+
+
+def market_open(ts: Column, symbol: Column | None = None) -> Column:
+    """Open from Sunday 21:00 to Friday 21:00; always for a symbol that never closes."""
     day, hour = F.dayofweek(ts), F.hour(ts)
-    return F.when(day == 7, False).when(day == 1, hour >= 21).when(day == 6, hour < 21).otherwise(True)
+    week = F.when(day == 7, False).when(day == 1, hour >= 21).when(day == 6, hour < 21).otherwise(True)
+    return week if symbol is None else never_closes(symbol) | week
 
 
 def threshold_session(hour: Column) -> Column:

@@ -1,6 +1,6 @@
 """Gaussian class models of every series and of every point in time, from running sums.
 
-A model needs only counts, sums and sums of squares per class and feature. Summed per part of a series (a fold, or the bars
+A model needs only counts, means and squared deviations per class and feature. Merged per part of a series (a fold, or the bars
 between two retrainings) and added up over the earlier parts, one pass over the rows yields the models of all series and
 all parts, each of which has seen earlier rows only. There is no loop over series, folds or retrainings.
 """
@@ -17,7 +17,8 @@ from barloom.operators.series import KEYS, prefix_scan
 #: Least variance of a class, as a share of the feature's variance over both classes.
 SMOOTHING = 1e-3
 
-_SUMS = ("n", "s", "q")
+#: A feature whose variance is less than this share of its squared mean is constant.
+CONSTANT = 1e-20
 
 
 def earlier_models(rows: DataFrame, names: Sequence[str], part: str, keys: Sequence[str] = KEYS, parts_per_block: int = 4096) -> DataFrame:
@@ -31,22 +32,29 @@ def earlier_models(rows: DataFrame, names: Sequence[str], part: str, keys: Seque
     long = rows.select(*keys, part, "label", F.posexplode(values).alias("_i", "_x"))
     sums = []
     for side in (0, 1):
-        mine = F.col("label") == side
-        sums += [F.count_if(mine).alias(f"n{side}"), F.sum(F.when(mine, F.col("_x"))).alias(f"s{side}"), F.sum(F.when(mine, F.col("_x") * F.col("_x"))).alias(f"q{side}")]
+        mine = F.when(F.col("label") == side, F.col("_x"))
+        sums += [F.count(mine).alias(f"n{side}"), F.avg(mine).alias(f"m{side}"), F.var_pop(mine).alias(f"v{side}")]
     per_part = long.groupBy(*keys, part, "_i").agg(*sums)
-    measures = {f"_{c}{side}": ("sum", F.col(f"{c}{side}")) for c in _SUMS for side in (0, 1)}
-    so_far = prefix_scan(per_part, [*keys, "_i"], F.floor(F.col(part) / parts_per_block), [part], measures, inclusive=False)
+    # Means and squared deviations merge about the feature's first mean, so a price level far from 0 costs no digits.
+    block = F.floor(F.col(part) / parts_per_block)
+    centred = prefix_scan(per_part, [*keys, "_i"], block, [part], {"_c": ("first", F.coalesce("m0", "m1"))})
+    measures = {}
+    for side in (0, 1):
+        n_own, off = F.col(f"n{side}"), F.col(f"m{side}") - F.col("_c")
+        measures |= {f"_n{side}": ("sum", n_own), f"_d{side}": ("sum", n_own * off), f"_e{side}": ("sum", n_own * (off * off + F.col(f"v{side}")))}
+    so_far = prefix_scan(centred, [*keys, "_i"], block, [part], measures, inclusive=False)
+    n, d, e = ([F.coalesce(F.col(f"_{c}{side}"), F.lit(0.0)) for side in (0, 1)] for c in "nde")
 
-    def variance(n: Column, s: Column, q: Column) -> Column:
-        return F.greatest(q / n - (s / n) * (s / n), F.lit(0.0))
+    def variance(n: Column, d: Column, e: Column) -> Column:
+        return F.greatest(e / n - (d / n) * (d / n), F.lit(0.0))
 
-    n, s, q = ([F.coalesce(F.col(f"_{c}{side}"), F.lit(0)) for side in (0, 1)] for c in _SUMS)
-    both = variance(n[0] + n[1], s[0] + s[1], q[0] + q[1])
-    tells = both > 1e-12 * F.pow((s[0] + s[1]) / (n[0] + n[1]), F.lit(2))
+    both = variance(n[0] + n[1], d[0] + d[1], e[0] + e[1])
+    mean = F.col("_c") + (d[0] + d[1]) / (n[0] + n[1])
+    tells = both > CONSTANT * mean * mean
     entry = F.struct(
         F.col("_i"),
-        *[F.when(tells, s[i] / n[i]).otherwise(0.0).alias(f"m{i}") for i in (0, 1)],
-        *[F.when(tells, F.greatest(variance(n[i], s[i], q[i]), SMOOTHING * both)).otherwise(1.0).alias(f"v{i}") for i in (0, 1)],
+        *[F.when(tells, F.col("_c") + d[i] / n[i]).otherwise(0.0).alias(f"m{i}") for i in (0, 1)],
+        *[F.when(tells, F.greatest(variance(n[i], d[i], e[i]), SMOOTHING * both)).otherwise(1.0).alias(f"v{i}") for i in (0, 1)],
     )
     trained = (n[0] > 0) & (n[1] > 0)
     # As many entries as features.

@@ -13,9 +13,7 @@ from pyspark.sql import functions as F
 from barloom.operators.learning import BASE, CEILING, MIN_SAMPLES, SLACK, STEP_DOWN, STEP_UP, TARGET
 from barloom.operators.scoring import GRADES
 from barloom.operators.signals import PLACE_SCORES
-
-# Voters in the order of their votes.
-AGENTS = ("smc", "ict", "price_action", "mtf", "ml", "volume", "sentiment", "rejection_zone")
+from barloom.operators.voting import AGENTS
 
 # Rows before a series is analysed, losses that stop it, signals and bars of a window, seconds between two
 # diagnoses, days of outcomes they look at for hours and for confidence bands, and their limits.

@@ -89,6 +89,19 @@ def near_events(
     return placed.join(cells, condition, how).drop("_at", "_cell")
 
 
+
+def near_news(bars: DataFrame, news: DataFrame, currencies: Column, seconds: int = 900, how: str = "left_semi") -> DataFrame:
+    """Bars with (`left_semi`) or without (`left_anti`) news (currency, ts) that moves them within `seconds`.
+
+    currencies: the array that moves a bar's symbol; null: all news does, empty: none does. Equality on the currency, or on a
+    mark that every entry bears too, keeps it an equi-join.
+    """
+    on = ["key", "tf_sec", "bar_start"]
+    asked = bars.select(*on, F.explode(F.coalesce(currencies, F.array(F.lit("*")))).alias("currency"))
+    marked = news.select(F.explode(F.array(F.col("currency"), F.lit("*"))).alias("currency"), "ts")
+    hit = near_events(asked, marked, ["currency"], "bar_start", "ts", seconds, "left_semi").select(*on).distinct()
+    return bars.join(hit, on, how)
+
 def trailing_range(
     left: DataFrame,
     samples: DataFrame,

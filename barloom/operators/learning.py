@@ -227,7 +227,7 @@ def updated_multipliers(current: DataFrame, hours: DataFrame, bands: DataFrame,
 
 def problem_log(hours: DataFrame, bands: DataFrame, as_of: Column) -> DataFrame:
     """One log entry per finding."""
-    percent = F.format_number(F.col("win_rate") * 100, 1)
+    percent = F.format_number(F.col("win_rate") * 100 + 1e-9, 1)
     bad = hours.select(
         as_of.alias("logged_at"),
         F.lit("BAD_HOUR").alias("kind"),
@@ -245,3 +245,8 @@ def problem_log(hours: DataFrame, bands: DataFrame, as_of: Column) -> DataFrame:
         "win_rate",
     )
     return bad.unionByName(over)
+
+
+def newest_findings(log: DataFrame, n: int = 20) -> DataFrame:
+    """The newest n entries of the log, those of one diagnosis by kind, key, hour and detail."""
+    return log.orderBy(F.col("logged_at").desc(), "kind", "key", "utc_hour", "detail").limit(n)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.series import KEYS, number_rows
+from barloom.operators.series import KEYS, bar_block
 
 
 #: Default of spark.sql.optimizer.windowGroupLimitThreshold.
@@ -20,14 +20,18 @@ def newest_rows(
     """The newest `n` rows of each series.
 
     Up to GROUP_LIMIT rows, Spark keeps only the newest of each partition before it moves any (a limit within the window).
-    Beyond that it would rank a whole series in one task, so rows are numbered by blocks instead.
+    Beyond that, the rows of each block of a series are counted first; only blocks that fewer than n rows follow are needed, so
+    what a task ranks is n rows and one block more, however long the series is. `block` must not decrease along `order`.
     """
     if n <= GROUP_LIMIT:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)))
         return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
-    numbered = number_rows(df, keys, order, block)
-    sizes = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    return numbered.join(sizes, list(keys)).filter(F.col("rn") >= F.col("_size") - n).select(*df.columns)
+    placed = df.withColumn("_blk", bar_block() if block is None else block)
+    newer = Window.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*keys, "_blk").agg(F.count(F.lit(1)).alias("_n")).withColumn("_newer", F.coalesce(F.sum("_n").over(newer), F.lit(0)))
+    needed = placed.join(counts.filter(F.col("_newer") < n).select(*keys, "_blk"), [*keys, "_blk"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.col(c).desc() for c in order)))
+    return needed.withColumn("_rank", rank).filter(F.col("_rank") <= n).select(*df.columns)
 
 
 def merge_latest(sources: Sequence[DataFrame], unique: Sequence[str] = ("key", "tf_sec", "bar_start")) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.scoring import on
+from barloom.operators.scoring import GRADES, grade, on
 
 CAP = 0.92
 
+# The voters in the order in which they speak.
+AGENTS = ("smc", "ict", "price_action", "mtf", "ml", "volume", "sentiment", "rejection_zone")
+
 
 def _clip(x: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(x, F.lit(1.0)))
@@ -105,6 +108,7 @@ def votes(df: DataFrame, action_scale: float = 5.0) -> DataFrame:
             reasons.alias("reasons"),
         )
 
+    # The reasons are fixed values: phrases that a reader of the votes knows.
     s = {name: F.col(f"_s_{name}") for name in ("smc", "ict", "action", "mtf", "ml", "volume", "sentiment", "zone")}
     p, zone_name = F.col("base_prob"), F.col("vp_zone")
     kill = F.col("_kill")
@@ -228,6 +232,32 @@ def decide(weighted_votes: DataFrame) -> DataFrame:
     return df.withColumns({"direction_changed": changed, "final_confidence": F.least(value, F.lit(0.99))})
 
 
+# What the critic says of each band of agreement, and of two kinds of opposition.
+CRITIC_BANDS = ((0.75, "Strong consensus {}"), (0.60, "Moderate consensus {}"), (0.40, "Mixed signals {} -- penalised"), (None, "Opposing consensus {} -- hard penalty"))
+MTF_OPPOSES, SMC_ICT_OPPOSE = "MTF opposes -- extra -10%", "SMC + ICT both oppose -- hard -15%"
+
+
+def critique(weighted_votes: DataFrame, decided: DataFrame, most: int = 6) -> DataFrame:
+    """decided with `critique`: the consensus in words, each voter against the proposal with its weight, and extra penalties."""
+    against = (F.col("vote") != F.col("proposed")) & (F.col("vote") != "NEUTRAL")
+    number = F.coalesce(*(F.when(F.col("agent") == a, i) for i, a in enumerate(AGENTS)))
+    said = F.concat(F.col("agent"), F.lit("="), F.col("vote"), F.lit(" (w="), F.format_number(F.col("effective") + 1e-9, 2), F.lit(")"))
+    opposed = weighted_votes.groupBy("key", "bar_start").agg(F.array_sort(F.collect_list(F.when(against, F.struct(number.alias("n"), said.alias("text"))))).alias("_against"))
+    percent = F.concat(F.format_number((F.col("agreement") + 1e-11) * 100, 0), F.lit("%"))
+    band = F.lit(None).cast("string")
+    for least, text in reversed(CRITIC_BANDS):
+        phrase = F.replace(F.lit(text), F.lit("{}"), percent)
+        band = phrase if least is None else F.when(F.col("agreement") >= least, phrase).otherwise(band)
+    extra = [F.when(F.col("mtf_against"), F.lit(MTF_OPPOSES)), F.when(F.col("smc_ict_against"), F.lit(SMC_ICT_OPPOSE))]
+    whole = F.concat(F.array(band), F.transform("_against", lambda a: a["text"]), F.array_compact(F.array(*extra)))
+    return decided.join(opposed, ["key", "bar_start"]).withColumn("critique", F.slice(whole, 1, most)).drop("_against")
+
+
+def regraded(decided: DataFrame, floor: float = dict(GRADES)["MODERATE"]) -> DataFrame:
+    """decided with the `grade` of the final confidence, and `blocked` where it falls below the floor after the voters spoke."""
+    return decided.withColumns({"grade": grade(F.col("final_confidence")), "blocked": F.col("final_confidence") < floor})
+
+
 def weighted_sides(votes_: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Green and red totals per bar, each vote weighted by learned weight x confidence."""
     df = votes_ if weights is None else votes_.join(weights, ["key", "bar_start", "agent"], "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,6 +84,65 @@ def zone_states(touched: DataFrame, max_age: int = MAX_AGE, memory: int = MEMORY
     ).core(*ZONE_KEYS, "level", "bar_start", "turn", "touch_count", "avg_wick", "max_wick", "growing", "zone_side")
 
 
+def _zone_score(wicks: list[float], age: int) -> float:
+    """`score` of one zone, rounded so that the order of additions decides no eviction."""
+    n = len(wicks)
+    if n < 2:
+        return 0.0
+    total = 0.0
+    for w in wicks:
+        total += w
+    last = wicks[-4:]
+    growing = all(b >= a * 0.9 for a, b in zip(last, last[1:], strict=False))
+    return round(min(min(n * 12, 36) + (28 if growing else 8) + min(total / n * 60, 24.0) + (12 if age < 3600 else 0), 100.0), 9)
+
+
+def zone_memory(touched: DataFrame, capacity: int = CAPACITY, max_age: int = MAX_AGE, memory: int = MEMORY) -> DataFrame:
+    """The zone after each touch as a series of at most `capacity` zones remembers it, and the level that had to go for it.
+
+    Zones that nobody touched for `max_age` are forgotten. When a new level comes and all places are taken, the zone with the
+    least score at that time goes (of equal ones the one that came first), so a level that comes back starts anew; `zone_states`
+    has no such limit. Columns: keys, level_no, bar_start, turn, touch_count, avg_wick, max_wick, growing, zone_side, n_zones and
+    evicted (level, or null).
+
+    What is remembered depends on the touches before it in their order, so a series is a run of one task over sorted rows, one
+    narrow row a touch; the task holds one series' zones and one batch.
+    """
+    ordered = touched.select("key", "tf_sec", "level_no", F.unix_timestamp("bar_start").alias("at"), "turn", "wick", (F.col("side") == "SELLER").alias("sold"))
+    ordered = ordered.repartition("key", "tf_sec").sortWithinPartitions("key", "tf_sec", "at", "turn")
+    schema = "key string, tf_sec int, level_no bigint, at bigint, turn int, touch_count int, avg_wick double, max_wick double, growing boolean, zone_side string, n_zones int, evicted bigint"
+    names = [f.split()[0] for f in schema.split(", ")]
+    kinds = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[f.split()[1]] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zones: dict[int, tuple[list[float], list[bool], int]] = {}
+        current = None
+        for batch in batches:
+            out = []
+            for key, tf, level, at, turn, wick, sold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, tf) != current:
+                    zones, current = {}, (key, tf)
+                for old in [k for k, z in zones.items() if at - z[2] > max_age]:
+                    del zones[old]
+                gone = None
+                if level not in zones:
+                    if len(zones) >= capacity:
+                        gone = min(zones, key=lambda k: _zone_score(zones[k][0], at - zones[k][2]))
+                        del zones[gone]
+                    zones[level] = ([], [], at)
+                wicks, sides = (zones[level][0] + [wick])[-memory:], (zones[level][1] + [sold])[-memory:]
+                zones[level] = (wicks, sides, at)
+                last = wicks[-4:]
+                growing = len(wicks) >= 2 and all(b >= a * 0.9 for a, b in zip(last, last[1:], strict=False))
+                side = "SELLER" if 2 * sum(sides) >= len(sides) else "BUYER"
+                out.append((key, tf, level, at, turn, len(wicks), sum(wicks) / len(wicks), max(wicks), growing, side, len(zones), gone))
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    done = ordered.mapInArrow(run, schema)
+    return done.withColumn("at", F.timestamp_seconds("at")).withColumnRenamed("at", "bar_start")
+
+
 def score(age: Column, recent_seconds: int = 3600) -> Column:
     """0 to 100 from touch count, pressure, wick size and recency; 0 below two touches."""
     frequency = F.least(F.col("touch_count") * 12, F.lit(36))

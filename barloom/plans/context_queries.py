@@ -4,18 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.functions.sessions import market_open
 from barloom.operators import mtf as T
 from barloom.operators import profile as V
 from barloom.operators import sentiment as N
 from barloom.operators import zones as Z
 from barloom.operators.bars import roll_up
 from barloom.operators.indicators import indicator_frame
-from barloom.operators.joins import asof_join, near_events
+from barloom.operators.joins import asof_join, near_events, near_news
 from barloom.operators.patterns import session_ranges
 from barloom.operators.series import frame, number_rows
 from barloom.plans.registry import epoch, ints, query, r, rounded
 from barloom.plans.sqlparts import BARS, INDICATORS, NUMBERED, S, VOLUME_BARS, ema, rd, strict, w, with_
-from barloom.sources.feeds import parse_news, symbol_currencies
+from barloom.sources.feeds import pair_currencies, parse_news, spelt_currencies, symbol_currencies
 from barloom.sources.samples import bars, table, volume_bars
 
 # ---------------------------------------------------------------- volume profile
@@ -165,6 +166,41 @@ def rejection_zone_states(spark, sf):
     )
 
 
+CAPACITY = 6
+_WEIGHT = """CASE WHEN len(z.w) < 2 THEN 0 ELSE round(least(least(len(z.w) * 12, 36)
+  + CASE WHEN len(list_filter(range(2, len(z.w[-4:]) + 1), lambda i: z.w[-4:][i] < z.w[-4:][i - 1] * 0.9::DOUBLE)) = 0 THEN 28 ELSE 8 END
+  + least(list_sum(z.w) / len(z.w) * 60, 24) + CASE WHEN now - z.ts < 3600 THEN 12 ELSE 0 END, 100), 9) END"""
+MEMORY = f""",
+tq AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY bar_epoch, turn) AS n FROM touches),
+zm AS (
+  SELECT key, 0::BIGINT AS n, 0::BIGINT AS now, NULL::BIGINT AS level_no, 0 AS turn, []::STRUCT(l BIGINT, w DOUBLE[], s INTEGER[], ts BIGINT)[] AS zs, NULL::BIGINT AS evicted
+  FROM (SELECT DISTINCT key FROM tq) k
+  UNION ALL
+  SELECT key, n, now, level_no, turn, CASE WHEN len(list_filter(kept, lambda z: z.l = level_no)) > 0
+      THEN list_transform(kept, lambda z: CASE WHEN z.l = level_no THEN {{'l': z.l, 'w': list_append(z.w, wick)[-10:], 's': list_append(z.s, sold)[-10:], 'ts': now}} ELSE z END)
+      ELSE list_append(kept, {{'l': level_no, 'w': [wick], 's': [sold], 'ts': now}}) END, evicted
+  FROM (SELECT *, list_filter(live, lambda z: evicted IS NULL OR z.l <> evicted) AS kept
+    FROM (SELECT *, CASE WHEN len(list_filter(live, lambda z: z.l = level_no)) = 0 AND len(live) >= {CAPACITY} THEN live[list_position(weights, list_min(weights))].l END AS evicted
+      FROM (SELECT *, list_transform(live, lambda z: {_WEIGHT}) AS weights
+        FROM (SELECT t.key, t.n, t.bar_epoch AS now, t.level_no, t.turn, t.wick, CASE WHEN t.side = 'SELLER' THEN 1 ELSE 0 END AS sold, list_filter(zm.zs, lambda z: t.bar_epoch - z.ts <= 259200) AS live
+          FROM zm JOIN tq t ON t.key = zm.key AND t.n = zm.n + 1) a) b) c) d)"""
+
+
+@query(
+    "rejection_zone_memory",
+    with_(BARS, NUMBERED, TOUCHES, MEMORY).replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", own AS (SELECT *, list_filter(zs, lambda z: z.l = level_no)[1] AS z FROM zm WHERE n > 0),
+st AS (SELECT key, now AS bar_epoch, level_no, turn, CAST(len(z.w) AS INTEGER) AS touch_count, list_sum(z.w) / len(z.w) AS avg_wick, list_max(z.w) AS max_wick,
+  len(z.w) >= 2 AND len(list_filter(range(2, len(z.w[-4:]) + 1), lambda i: z.w[-4:][i] < z.w[-4:][i - 1] * 0.9::DOUBLE)) = 0 AS growing,
+  CASE WHEN 2 * list_sum(z.s) >= len(z.s) THEN 'SELLER' ELSE 'BUYER' END AS zone_side, CAST(len(zs) AS INTEGER) AS n_zones, evicted FROM own)
+SELECT key, bar_epoch, level_no, turn, touch_count, growing, zone_side, n_zones, evicted, {rd('avg_wick', 'max_wick')} FROM st""",
+)
+def rejection_zone_memory(spark, sf):
+    """Zones as a memory of six of them keeps them, the weakest going when a new level comes."""
+    kept = Z.zone_memory(Z.touches(bars(spark, sf), F.lit(ZONE)), CAPACITY)
+    return kept.select("key", epoch(), "level_no", "turn", "touch_count", "growing", "zone_side", "n_zones", "evicted", *rounded("avg_wick", "max_wick"))
+
+
 @query(
     "rejection_zones",
     with_(BARS, NUMBERED, TOUCHES, STATES)
@@ -622,6 +658,20 @@ def rolling_range_360(spark, sf):
     return f.with_columns(highs).core("key", epoch(), "range_high", "range_low")
 
 
+@query(
+    "market_hours_by_symbol",
+    with_(BARS)
+    + """, y AS (SELECT *, CASE key WHEN 'view' THEN 'BTCUSD' WHEN 'purchase' THEN 'PEPEUSDT' WHEN 'click' THEN 'ETHEUR' ELSE 'EURUSD' END AS symbol, bar_epoch % 604800 // 3600 AS wh FROM bars)
+SELECT key, bar_epoch, symbol, symbol LIKE 'BTC%' OR symbol LIKE 'ETH%' OR symbol LIKE '%USDT' OR NOT (wh >= 45 AND wh < 93) AS market_open FROM y""",
+)
+def market_hours_by_symbol(spark, sf):
+    """Whether a symbol trades: some never close, the others from Friday 21:00 to Sunday 21:00."""
+    names = {"view": "BTCUSD", "purchase": "PEPEUSDT", "click": "ETHEUR"}
+    symbol = F.coalesce(*[F.when(F.col("key") == k, n) for k, n in names.items()], F.lit("EURUSD"))
+    rows = bars(spark, sf, reuse=False).withColumn("symbol", symbol)
+    return rows.select("key", epoch(), "symbol", market_open(F.col("bar_start"), F.col("symbol")).alias("market_open"))
+
+
 NEWS = """,
 news AS (SELECT ts, CAST(floor(epoch(ts) / 60) AS BIGINT) * 60 AS sec, event_id,
   ['CLI', 'VIE', 'PUR', 'USD'][user_id % 4 + 1] AS currency,
@@ -705,3 +755,39 @@ WHERE NOT EXISTS (SELECT 1 FROM hit h WHERE h.key = b.key AND abs(h.sec - b.bar_
 def news_block_anti(spark, sf):
     free = near_events(bars(spark, sf), _news_hits(spark, sf), ["key"], "bar_start", "ts", 900, "left_anti")
     return free.select("key", epoch(), "close")
+
+
+SYMBOLS = {"click": "frxCLIVIE", "view": "VIEUSD", "purchase": "PURUSDT", "error": "ERR"}
+_BY_SYMBOL = """,
+sy AS (SELECT b.key, b.bar_epoch, b.close, CASE key WHEN 'click' THEN 'frxCLIVIE' WHEN 'view' THEN 'VIEUSD' WHEN 'purchase' THEN 'PURUSDT' WHEN 'error' THEN 'ERR' ELSE 'USDPUR' END AS symbol FROM bars b)"""
+
+
+def _symbol():
+    return F.coalesce(*[F.when(F.col("key") == k, n) for k, n in SYMBOLS.items()], F.lit("USDPUR"))
+
+
+@query(
+    "news_windows_by_symbol",
+    with_(BARS, NEWS, _BY_SYMBOL)
+    + """, pl AS (SELECT *, replace(replace(upper(symbol), 'FRX', ''), 'USDT', '') AS pair FROM sy)
+SELECT key, bar_epoch, symbol FROM pl WHERE EXISTS (SELECT 1 FROM news n WHERE n.impact <> 'Low' AND abs(n.sec - bar_epoch) <= 900
+  AND (length(pair) < 6 OR n.currency IN (pair[:3], pair[4:6]) OR n.currency = 'USD'))""",
+)
+def news_windows_by_symbol(spark, sf):
+    """Bars near news of one of their symbol's currencies or the dollar; a symbol without two currencies heeds all news."""
+    news = parse_news(raw_news(spark, sf), layouts=("h:mma", "H:mm"))
+    rows = bars(spark, sf).withColumn("symbol", _symbol())
+    return near_news(rows, news, pair_currencies(F.col("symbol"))).select("key", epoch(), "symbol")
+
+
+@query(
+    "news_high_impact",
+    with_(BARS, NEWS, _BY_SYMBOL)
+    + """SELECT key, bar_epoch, symbol FROM sy WHERE length(symbol) >= 6 AND EXISTS (SELECT 1 FROM news n WHERE n.impact = 'High' AND abs(n.sec - bar_epoch) <= 900
+  AND n.currency IN (symbol[:3], symbol[4:6], 'USD'))""",
+)
+def news_high_impact(spark, sf):
+    """The strict rule: high impact only, currencies as the symbol spells them, none for short symbols."""
+    news = parse_news(raw_news(spark, sf), impacts=("high",), layouts=("h:mma", "H:mm"))
+    rows = bars(spark, sf).withColumn("symbol", _symbol())
+    return near_news(rows, news, spelt_currencies(F.col("symbol"))).select("key", epoch(), "symbol")

@@ -37,15 +37,12 @@ _LIST = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0)" for c in FEATURES)
 _LABELLED = f""", lab AS (SELECT key, bar_epoch, rn, CAST(lead(close) {S} > lead(open) {S} AS INTEGER) AS label, [{_LIST}] AS xs FROM feat)"""
 _BAYES = """,
 lx AS (SELECT key, bar_epoch, part, label, unnest(xs) AS x, unnest(range(len(xs))) AS i FROM parts),
-sm AS (SELECT key, part, i, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1, coalesce(sum(x) FILTER (label = 0), 0) AS s0, coalesce(sum(x) FILTER (label = 1), 0) AS s1,
-  coalesce(sum(x * x) FILTER (label = 0), 0) AS q0, coalesce(sum(x * x) FILTER (label = 1), 0) AS q1 FROM lx GROUP BY ALL),
-cu AS (SELECT key, part, i, coalesce(sum(n0) OVER e, 0)::DOUBLE AS n0, coalesce(sum(n1) OVER e, 0)::DOUBLE AS n1, sum(s0) OVER e AS s0, sum(s1) OVER e AS s1, sum(q0) OVER e AS q0, sum(q1) OVER e AS q1
-  FROM sm WINDOW e AS (PARTITION BY key, i ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-va AS (SELECT *, greatest((q0 + q1) / (n0 + n1) - ((s0 + s1) / (n0 + n1)) ** 2, 0) AS vt, ((s0 + s1) / (n0 + n1)) ** 2 AS mt FROM cu WHERE n0 > 0 AND n1 > 0),
-mo AS (SELECT key, part, i, n0, n1, s0 / n0 AS m0, s1 / n1 AS m1, greatest(q0 / n0 - (s0 / n0) ** 2, 1e-3::DOUBLE * vt) AS v0, greatest(q1 / n1 - (s1 / n1) ** 2, 1e-3::DOUBLE * vt) AS v1
-  FROM va WHERE vt > 1e-12::DOUBLE * mt),
+ps AS (SELECT DISTINCT key, part FROM parts),
+cu AS (SELECT p.key, p.part, i, count(*) FILTER (label = 0)::DOUBLE AS n0, count(*) FILTER (label = 1)::DOUBLE AS n1, avg(x) FILTER (label = 0) AS m0, avg(x) FILTER (label = 1) AS m1,
+  var_pop(x) FILTER (label = 0) AS w0, var_pop(x) FILTER (label = 1) AS w1, var_pop(x) AS vt, avg(x) AS mt FROM ps p JOIN lx l ON l.key = p.key AND l.part < p.part AND l.label IS NOT NULL GROUP BY ALL),
+mo AS (SELECT key, part, i, n0, n1, m0, m1, greatest(w0, 1e-3::DOUBLE * vt) AS v0, greatest(w1, 1e-3::DOUBLE * vt) AS v1 FROM cu WHERE n0 > 0 AND n1 > 0 AND vt > 1e-20::DOUBLE * mt * mt),
 od AS (SELECT key, bar_epoch, max(ln(n1 / n0)) + sum(0.5::DOUBLE * ln(v0 / v1) + (x - m0) ** 2 / (2 * v0) - (x - m1) ** 2 / (2 * v1)) AS odds FROM lx JOIN mo USING (key, part, i) GROUP BY ALL),
-nt AS (SELECT DISTINCT key, part, CAST(n0 + n1 AS BIGINT) AS n_train, n0 > 0 AND n1 > 0 AS two FROM cu),
+nt AS (SELECT p.key, p.part, CAST(coalesce(any_value(n0 + n1), 0) AS BIGINT) AS n_train, coalesce(any_value(n0 > 0 AND n1 > 0), false) AS two FROM ps p LEFT JOIN cu c USING (key, part) GROUP BY ALL),
 pr AS (SELECT p.key, p.bar_epoch, p.rn, p.part, p.label, n_train, two AND n_train >= {min_rows} AS trained,
   CASE WHEN two AND n_train >= {min_rows} THEN 1 / (1 + exp(-least(greatest(odds, -500), 500))) ELSE 0.5::DOUBLE END AS prob
   FROM parts p JOIN nt USING (key, part) LEFT JOIN od USING (key, bar_epoch))"""

@@ -385,6 +385,31 @@ def problem_log(spark, sf):
     return L.problem_log(*_diagnosis(spark, sf), as_of()).select("kind", "key", "utc_hour", *rounded("win_rate"))
 
 
+@query(
+    "evolution_log",
+    SIG
+    + DIAG
+    + """, pl AS (SELECT 'BAD_HOUR' AS kind, key, utc_hour, key || ' UTC-' || lpad(CAST(utc_hour AS VARCHAR), 2, '0') || 'h: ' || total || ' signals, ' || printf('%.1f', win_rate * 100 + 1e-9::DOUBLE) || '% WR' AS detail, win_rate FROM bh
+  UNION ALL SELECT 'OVERCONFIDENCE', key, -1, key || ' confidence ' || band || '%: ' || printf('%.1f', win_rate * 100 + 1e-9::DOUBLE) || '% WR on ' || total || ' signals', win_rate FROM bb)
+SELECT 1706659200 AS logged_epoch, kind, key, utc_hour, detail, round(win_rate + 1e-11::DOUBLE, 6) AS win_rate FROM pl ORDER BY kind, key, utc_hour, detail LIMIT 20""",
+)
+def evolution_log(spark, sf):
+    """The newest 20 findings with time and detail."""
+    log = L.newest_findings(L.problem_log(*_diagnosis(spark, sf), as_of()), 20)
+    return log.select(F.unix_timestamp("logged_at").alias("logged_epoch"), "kind", "key", "utc_hour", "detail", *rounded("win_rate"))
+
+
+@query(
+    "last_signal",
+    SIG + "SELECT key, bar_epoch, signal_id, direction, confidence FROM sig QUALIFY row_number() OVER (PARTITION BY key ORDER BY bar_epoch DESC) = 1",
+)
+def last_signal(spark, sf):
+    """The newest signal of every key."""
+    fields = F.struct("bar_start", "signal_id", "direction", "confidence")
+    newest = signals(spark, sf).groupBy("key").agg(F.max_by(fields, "bar_start").alias("_s"))
+    return newest.select("key", epoch("_s.bar_start"), "_s.signal_id", "_s.direction", "_s.confidence")
+
+
 @query(
     "marker_dedupe",
     SIG

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from barloom.functions.sessions import market_open
@@ -13,7 +15,8 @@ from barloom.plans.registry import epoch, query, r, rounded
 from barloom.plans.sqlparts import BARS, NUMBERED, TICKS, rd, with_
 from barloom.sources import feeds
 from barloom.sources.samples import bars, ticks
-from barloom.sources.tables import messages
+from barloom.session import shared_folder
+from barloom.sources.tables import messages, read_bars, upsert_bars, write_bars
 
 PRICES = ("open", "high", "low", "close")
 
@@ -37,6 +40,33 @@ def bar_retention_topn(spark, sf):
     return newest_rows(every, 200).select("key", "tf_sec", epoch())
 
 
+@query(
+    "bar_retention_1500",
+    with_(TICKS)
+    + "SELECT DISTINCT key, sec // 60 * 60 AS bar_epoch FROM ticks QUALIFY dense_rank() OVER (PARTITION BY key ORDER BY sec // 60 DESC) <= 1500",
+)
+def bar_retention_1500(spark, sf):
+    """Newest 1500 minute bars of every series, which lie in several blocks."""
+    return newest_rows(bars(spark, sf, 60), 1500).select("key", epoch())
+
+
+@query(
+    "bars_upsert",
+    with_(BARS)
+    + """SELECT key, tf_sec, bar_epoch, CASE WHEN bar_epoch % 7200 = 0 AND bar_epoch >= 1705276800 THEN close + 1 ELSE close END AS close FROM bars""",
+)
+def bars_upsert(spark, sf):
+    """A stored bar table after an upsert: some bars are replaced by newer versions, others are new."""
+    made = bars(spark, sf)
+    path = f"{shared_folder(spark)}/barloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    start = F.timestamp_seconds(F.lit(1705276800))
+    changed = (F.unix_timestamp("bar_start") % 7200 == 0) & (F.col("bar_start") >= start)
+    write_bars(made.filter((F.unix_timestamp("bar_start") % 10800 != 0) | (F.col("bar_start") < start)), path)
+    fresh = made.filter(changed | ((F.unix_timestamp("bar_start") % 10800 == 0) & (F.col("bar_start") >= start)))
+    upsert_bars(spark, fresh.withColumn("close", F.col("close") + F.when(changed, 1).otherwise(0)), path)
+    return read_bars(spark, path).select("key", "tf_sec", epoch(), "close")
+
+
 @query("bar_counts", with_(BARS) + "SELECT key, tf_sec, count(*) AS n_bars FROM bars GROUP BY key, tf_sec")
 def bar_counts(spark, sf):
     return bars(spark, sf, reuse=False).groupBy("key", "tf_sec").agg(F.count(F.lit(1)).alias("n_bars"))

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from barloom.operators import voting as G
 from barloom.operators.analysis import score
 from barloom.operators.mtf import boost_table
+from barloom.operators.retention import newest_rows
 from barloom.plans.context_queries import BOOSTS
 from barloom.plans.registry import epoch, query, r, rounded
 from barloom.plans.score_queries import FULL, context
 from barloom.plans.sqlparts import rd
 from barloom.session import cut_lineage
+from barloom.sources.samples import ticks
 
 
 def _vote(agent: str, score_: str, direction: str, confidence: str) -> str:
@@ -111,3 +113,77 @@ def agent_decision(spark, sf):
 def agent_summary(spark, sf):
     latest = G.agent_summary(G.votes(_scored(spark, sf)))
     return latest.select("key", "agent", epoch(), "vote", *rounded("confidence", "score", digits=9))
+
+
+def _said(agent: str, default: str, *named: tuple[str, str]) -> str:
+    found = "list_filter([" + ", ".join(f"CASE WHEN {condition} THEN '{text}' END" for condition, text in named) + "], lambda x: x IS NOT NULL)"
+    return f"SELECT key, bar_epoch, '{agent}' AS agent, CASE WHEN len({found}) > 0 THEN {found} ELSE ['{default}'] END AS said FROM va2"
+
+
+SAID = " UNION ALL ".join(
+    [
+        _said("smc", "SMC neutral", ("bullish_bos > 0", "BOS bullish"), ("bearish_bos > 0", "BOS bearish"), ("bullish_choch > 0", "CHOCH bullish"), ("bearish_choch > 0", "CHOCH bearish"),
+              ("price_at_bullish_ob > 0", "Bullish Order Block active"), ("price_at_bearish_ob > 0", "Bearish Order Block active"), ("liquidity_swept > 0", "Liquidity swept"),
+              ("hh_hl_structure > 0", "HH/HL bullish structure"), ("lh_ll_structure > 0", "LH/LL bearish structure"), ("in_ote_zone > 0", "Price in OTE zone"), ("round_number_near > 0", "Round number confluence")),
+        _said("ict", "ICT neutral", ("kill", "Kill Zone active"), ("in_ote_zone_bull > 0", "OTE zone long"), ("in_ote_zone_bear > 0", "OTE zone short"), ("displacement_bull > 0", "Bullish displacement"),
+              ("displacement_bear > 0", "Bearish displacement"), ("judas_swing_bull > 0", "Judas swing bull"), ("judas_swing_bear > 0", "Judas swing bear"), ("mm_bull_cycle > 0", "MM bull cycle"), ("mm_bear_cycle > 0", "MM bear cycle")),
+        _said("price_action", "PA neutral", ("bull_engulf > 0", "Bullish Engulfing"), ("bear_engulf > 0", "Bearish Engulfing"), ("pin_bull > 0", "Pin Bar (bull)"), ("pin_bear > 0", "Pin Bar (bear)"),
+              ("hh_hl_structure > 0", "HH/HL bullish structure"), ("lh_ll_structure > 0", "LH/LL bearish structure"), ("round_number_near > 0", "Round number level")),
+        "SELECT key, bar_epoch, 'mtf', ['MTF ' || mtf_direction] FROM va2",
+        "SELECT key, bar_epoch, 'ml', ['Fused probability'] FROM va2",
+        _said("volume", "Volume neutral", *[(f"vp_zone = '{z}'", t) for z, t in (("AT_SUPPORT", "At VP Support"), ("AT_RESISTANCE", "At VP Resistance"), ("BELOW_VALUE_AREA", "Below Value Area"),
+              ("ABOVE_VALUE_AREA", "Above Value Area"), ("LVN_FAST_MOVE", "LVN fast move"))], ("vp_at_poc", "At POC"), ("os_imbalance > 0.3::DOUBLE", "Buy imbalance"), ("os_imbalance < -0.3::DOUBLE", "Sell imbalance")),
+        _said("sentiment", "Sentiment neutral", ("sent_mult > 1.05::DOUBLE", "Sentiment aligns"), ("sent_mult < 0.95::DOUBLE", "Sentiment opposes"), ("synth_signal_bias = 'GREEN'", "Synthetic bullish"),
+              ("synth_signal_bias = 'RED'", "Synthetic bearish"), ("synth_exhaustion > 0.7::DOUBLE", "Exhaustion signal")),
+        _said("rejection_zone", "No active rejection zone near price", ("rz_signal = 'GREEN'", "RZ supports BUY"), ("rz_signal = 'RED'", "RZ supports SELL")),
+    ]
+)
+
+
+@query("agent_reasons", FULL + VOTES + f", said AS ({SAID}) SELECT s.key, s.bar_epoch, s.agent, v.vote, array_to_string(s.said, '; ') AS reasons FROM said s JOIN votes v USING (key, bar_epoch, agent)")
+def agent_reasons(spark, sf):
+    """Every voter's reasons, bar by bar."""
+    cast = G.votes(_scored(spark, sf))
+    return cast.select("key", epoch(), "agent", "vote", F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+@query(
+    "agent_critique",
+    FULL
+    + VOTES
+    + DECISION
+    + f""",
+op AS (SELECT key, bar_epoch, list(agent || '=' || vote || ' (w=' || printf('%.2f', ew + 1e-9::DOUBLE) || ')' ORDER BY list_position([{', '.join(f"'{a}'" for a in G.AGENTS)}], agent))
+    FILTER (vote <> proposed AND vote <> 'NEUTRAL') AS against FROM wv GROUP BY ALL),
+cq AS (SELECT d.*, list_concat(list_concat([replace(CASE WHEN agreement >= 0.75::DOUBLE THEN 'Strong consensus {{}}' WHEN agreement >= 0.6::DOUBLE THEN 'Moderate consensus {{}}'
+    WHEN agreement >= 0.4::DOUBLE THEN 'Mixed signals {{}} -- penalised' ELSE 'Opposing consensus {{}} -- hard penalty' END, '{{}}', printf('%.0f', (agreement + 1e-11::DOUBLE) * 100) || '%')], coalesce(against, [])),
+    list_filter([CASE WHEN mo THEN 'MTF opposes -- extra -10%' END, CASE WHEN so THEN 'SMC + ICT both oppose -- hard -15%' END], lambda x: x IS NOT NULL))[:6] AS cl
+  FROM decided d JOIN op USING (key, bar_epoch))
+SELECT key, bar_epoch, final_direction, array_to_string(cl, '; ') AS critique, CASE WHEN final_confidence >= 0.82::DOUBLE THEN 'ELITE' WHEN final_confidence >= 0.75::DOUBLE THEN 'HIGH'
+  WHEN final_confidence >= 0.62::DOUBLE THEN 'MODERATE' ELSE 'SKIP' END AS grade, final_confidence < 0.62::DOUBLE AS blocked FROM cq""",
+)
+def agent_critique(spark, sf):
+    """The critic's words on every bar, the grade after the decision, and whether that blocks the signal."""
+    scored = cut_lineage(_scored(spark, sf))
+    spoken = cut_lineage(G.weighted(G.votes(scored), scored, boost_table(spark)))
+    done = G.regraded(G.critique(spoken, G.decide(spoken)))
+    return done.select("key", epoch(), "final_direction", F.concat_ws("; ", "critique").alias("critique"), "grade", "blocked")
+
+
+@query(
+    "engine_snapshot_full",
+    FULL
+    + f""",
+tk AS (SELECT key, arg_max(price, seq) AS last_price, 1706659200 - max(sec) AS tick_age FROM ticks GROUP BY key),
+nw AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY key ORDER BY bar_epoch DESC) = 1)
+SELECT key, bar_epoch, last_price, tick_age, vp_zone, vp_at_poc, rz_signal, synth_signal_bias, is_fresh, direction, grade, {rd('close', 'rz_score', 'buyer_ratio', 'os_imbalance')} FROM nw JOIN tk USING (key)""",
+)
+def engine_snapshot_full(spark, sf):
+    """The newest bar of every key with zone, profile, sentiment, order flow and score, and its last tick."""
+    scored = _scored(spark, sf)
+    last = ticks(spark, sf).groupBy("key").agg(F.max_by("price", "seq").alias("last_price"), (1706659200 - F.max(F.unix_timestamp("ts"))).alias("tick_age"))
+    newest = newest_rows(scored, 1, ["key"]).join(last, "key")
+    return newest.select(
+        "key", epoch(), "last_price", "tick_age", "vp_zone", "vp_at_poc", "rz_signal", "synth_signal_bias", "is_fresh", "direction", "grade",
+        *rounded("close", "rz_score", "buyer_ratio", "os_imbalance"),
+    )

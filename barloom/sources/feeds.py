@@ -89,19 +89,26 @@ def symbol_currencies(spark: SparkSession, currencies: dict[str, Sequence[str]])
     return spark.createDataFrame(rows, "key string, currency string")
 
 
-def pair_currencies(key: Column) -> Column:
-    """Base and quote currency of a six-letter symbol, and the dollar that moves every symbol."""
-    plain = F.regexp_replace(F.regexp_replace(F.upper(key), "FRX", ""), "USDT", "")
+def pair_currencies(symbol: Column) -> Column:
+    """Base and quote currency of a symbol, and the dollar that moves every symbol; null where it does not spell two."""
+    plain = F.replace(F.replace(F.upper(symbol), F.lit("FRX"), F.lit("")), F.lit("USDT"), F.lit(""))
     both = F.array(F.substring(plain, 1, 3), F.substring(plain, 4, 3), F.lit("USD"))
     return F.when(F.length(plain) >= 6, F.array_distinct(both))
 
 
+def spelt_currencies(symbol: Column) -> Column:
+    """The first and second three letters of a symbol as they stand, and the dollar; none for a symbol shorter than six."""
+    both = F.array_distinct(F.array(F.substring(symbol, 1, 3), F.substring(symbol, 4, 3), F.lit("USD")))
+    return F.when(F.length(symbol) >= 6, both).otherwise(F.array().cast("array<string>"))
+
+
 def parse_news(
     raw: DataFrame, impacts: Sequence[str] = ("high", "medium"), layouts: Sequence[str] = ("h:mma",)
 ) -> DataFrame:
     """Calendar entries of the wanted impacts; entries without a readable time are dropped."""
-    m = F.from_json("value", NEWS)
-    when = F.upper(F.concat_ws(" ", F.col("m.date"), F.col("m.time")))
+    # A generator stands between the parse and its fields, so an entry's text and time are each parsed once.
+    m = raw.select(F.inline(F.array(F.from_json("value", NEWS)))).filter(F.lower("impact").isin(*impacts))
+    when = F.upper(F.concat_ws(" ", F.col("date"), F.col("time")))
     # A failed parse costs an exception, so a layout is only tried on texts of its own kind.
     halves = when.rlike("[AP]M$")
     parsed = F.coalesce(
@@ -110,17 +117,8 @@ def parse_news(
             for layout in layouts
         ]
     )
-    return (
-        raw.select(m.alias("m"))
-        .filter(F.lower("m.impact").isin(*impacts))
-        .select(
-            parsed.alias("ts"),
-            F.col("m.country").alias("currency"),
-            F.lower("m.impact").alias("impact"),
-            F.col("m.title").alias("title"),
-        )
-        .filter("ts IS NOT NULL")
-    )
+    known = m.select(F.explode(F.array_compact(F.array(parsed))).alias("ts"), "country", "impact", "title")
+    return known.select("ts", F.col("country").alias("currency"), F.lower("impact").alias("impact"), "title")
 
 
 def parse_history(raw: DataFrame) -> DataFrame:
