@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -46,11 +47,13 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def byte_level(raw: bytes) -> tuple[Encode, list[bytes]]:
-    """Encoder of whole texts and bytes of each id, from a byte-level vocabulary's JSON; special tokens are plain text.
+@lru_cache(maxsize=4)
+def byte_level(raw: bytes) -> tuple[Encode, list[bytes], bool]:
+    """Encoder of whole texts, bytes of each id, and whether they always join to the text, from a byte-level vocabulary's JSON.
 
-    Where the merges are ranked as their results' ids are, and texts are cut by the usual pattern, the same ids come from the
-    ranks alone, which is four times as fast; else from the general encoder.
+    Special tokens are plain text. Where the merges are ranked as their results' ids are, and texts are cut by the usual pattern,
+    the same ids come from the ranks alone, which is four times as fast and only ever cuts the text's own bytes; else from the
+    general encoder.
     """
     spec, letters = json.loads(raw), byte_letters()
     vocabulary = spec["model"]["vocab"]
@@ -63,12 +66,13 @@ def byte_level(raw: bytes) -> tuple[Encode, list[bytes]]:
     cut = spec["pre_tokenizer"]
     if merged == sorted(merged) and cut["type"] == "ByteLevel" and cut["use_regex"] and not cut["add_prefix_space"] and not spec["normalizer"]:
         quick = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [quick.encode_ordinary(t) for t in texts], table
+        return lambda texts: [quick.encode_ordinary(t) for t in texts], table, True
     general = tokenizers.Tokenizer.from_str(raw.decode())
     general.encode_special_tokens = True
-    return lambda texts: [e.ids for e in general.encode_batch(texts, add_special_tokens=False)], table
+    return lambda texts: [e.ids for e in general.encode_batch(texts, add_special_tokens=False)], table, False
 
 
+@lru_cache(maxsize=4)
 def piece_level(raw: bytes) -> tuple[Encode, list[bytes]]:
     """Encoder of whole texts and bytes of each id of a model of pieces with byte fallback."""
     model = sentencepiece.SentencePieceProcessor(model_proto=raw)
@@ -111,11 +115,14 @@ def links(x: np.ndarray, y: np.ndarray, ends_a: list[int], ends_b: list[int]) ->
         (va, ca), (vb, cb) = (np.unique(v[s:e], return_counts=True) for v, s, e in ((x, start_a[g], end_a[g]), (y, start_b[g], end_b[g])))
         found.append((va[:, None] << np.uint32(16) | vb).ravel())
         times.append(np.outer(ca, cb).ravel())
+    single = (n_a == 1) & (n_b == 1)
+    found_one = x[start_a[single]] << np.uint32(16) | y[start_b[single]]
+    small &= ~single
     start_a, start_b, n_b, many = start_a[small], start_b[small], n_b[small], (n_a * n_b)[small]
     group = np.repeat(np.arange(len(many)), many)
     place = np.arange(len(group)) - np.repeat(np.cumsum(many) - many, many)
     pair = x[start_a[group] + place // n_b[group]] << np.uint32(16) | y[start_b[group] + place % n_b[group]]
-    value, count = np.unique(pair, return_counts=True)
+    value, count = np.unique(np.concatenate([found_one, pair]), return_counts=True)
     if not found:
         return value, count
     value, at = np.unique(np.concatenate([value, *found]), return_inverse=True)
@@ -135,7 +142,7 @@ def aligned(docs: DataFrame, raw_a: bytes, raw_b: bytes) -> DataFrame:
     files = docs.sparkSession.sparkContext.broadcast((raw_a, raw_b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_a, bytes_a = byte_level(files.value[0])
+        encode_a, bytes_a, exact_a = byte_level(files.value[0])
         encode_b, bytes_b = piece_level(files.value[1])
         if max(len(bytes_a), len(bytes_b)) > 1 << 16:
             raise ValueError("an id must fit in 16 bits")
@@ -147,7 +154,7 @@ def aligned(docs: DataFrame, raw_a: bytes, raw_b: bytes) -> DataFrame:
             out = []
             for text, a, b in zip(raw, encode_a([" " + t for t in texts]), encode_b(texts), strict=True):
                 whole = b" " + text
-                if not text or b"".join(map(bytes_a.__getitem__, a)) != whole or b"".join(map(bytes_b.__getitem__, b)) != whole:
+                if not text or b"".join(map(bytes_b.__getitem__, b)) != whole or not (exact_a or b"".join(map(bytes_a.__getitem__, a)) == whole):
                     out.append((0, 0, 0, 0, "", b"", b""))
                     continue
                 x, y = np.array(a, np.uint32), np.array(b, np.uint32)
