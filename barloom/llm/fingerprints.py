@@ -180,7 +180,7 @@ def likeness_of_documents(docs: DataFrame, every: int = 50, radius: int = RADIUS
 
     The next document has the next lower doc_id (nulls last; among equal ids the next text by its bytes; repeated rows follow
     each other); after the last comes the first. `n_near` counts the other documents within the radius, for documents whose id
-    `every` divides; it is null for all others. A null text counts as empty; an empty one has the fingerprint 0 and is near
+    `every` divides; it is -1 for all others. A null text counts as empty; an empty one has the fingerprint 0 and is near
     any other that has it. An empty table gives no rows. Only doc_id and text are read.
     """
     made = cut_lineage(document_fingerprints(docs))
@@ -191,5 +191,5 @@ def likeness_of_documents(docs: DataFrame, every: int = 50, radius: int = RADIUS
     return whole.select(
         "doc_id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"),
         hex_digits(F.col("high"), F.col("low")).alias("fingerprint"), hex_digits(F.col("edited_high"), F.col("edited_low")).alias("edited_fingerprint"),
-        likeness("", "edited_").alias("near_edited"), likeness("", "next_").alias("near_next"), "n_near",
+        likeness("", "edited_").alias("near_edited"), likeness("", "next_").alias("near_next"), F.coalesce("n_near", F.lit(-1)).cast("bigint").alias("n_near"),
     )

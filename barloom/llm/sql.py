@@ -69,5 +69,5 @@ q AS (SELECT a.rid, count(*) - 1 AS n_near FROM (SELECT f.* FROM f JOIN d USING
   JOIN (SELECT * FROM f WHERE kind = 0) b ON bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3 GROUP BY a.rid)
 SELECT doc_id, n_chars, sha256(e) AS edited_sha256, printf('%016x%016x', o.hi, o.lo) AS fingerprint, printf('%016x%016x', c.hi, c.lo) AS edited_fingerprint,
   1 - (bit_count(xor(o.hi, c.hi)) + bit_count(xor(o.lo, c.lo))) / 128.0 AS near_edited,
-  1 - (bit_count(xor(o.hi, x.hi)) + bit_count(xor(o.lo, x.lo))) / 128.0 AS near_next, n_near
+  1 - (bit_count(xor(o.hi, x.hi)) + bit_count(xor(o.lo, x.lo))) / 128.0 AS near_next, coalesce(n_near, -1) AS n_near
 FROM e JOIN f o ON o.rid = e.rid AND o.kind = 0 JOIN f c ON c.rid = e.rid AND c.kind = 1 JOIN f x ON x.rid = e.nxt AND x.kind = 0 LEFT JOIN q ON q.rid = e.rid"""
