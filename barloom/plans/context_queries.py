@@ -192,13 +192,13 @@ zm AS (
     + f""", own AS (SELECT *, list_filter(zs, lambda z: z.l = level_no)[1] AS z FROM zm WHERE n > 0),
 st AS (SELECT key, now AS bar_epoch, level_no, turn, CAST(len(z.w) AS INTEGER) AS touch_count, list_sum(z.w) / len(z.w) AS avg_wick, list_max(z.w) AS max_wick,
   len(z.w) >= 2 AND len(list_filter(range(2, len(z.w[-4:]) + 1), lambda i: z.w[-4:][i] < z.w[-4:][i - 1] * 0.9::DOUBLE)) = 0 AS growing,
-  CASE WHEN 2 * list_sum(z.s) >= len(z.s) THEN 'SELLER' ELSE 'BUYER' END AS zone_side, CAST(len(zs) AS INTEGER) AS n_zones, evicted FROM own)
+  CASE WHEN 2 * list_sum(z.s) >= len(z.s) THEN 'SELLER' ELSE 'BUYER' END AS zone_side, CAST(len(zs) AS INTEGER) AS n_zones, coalesce(evicted, -1) AS evicted FROM own)
 SELECT key, bar_epoch, level_no, turn, touch_count, growing, zone_side, n_zones, evicted, {rd('avg_wick', 'max_wick')} FROM st""",
 )
 def rejection_zone_memory(spark, sf):
     """Zones as a memory of six of them keeps them, the weakest going when a new level comes."""
     kept = Z.zone_memory(Z.touches(bars(spark, sf), F.lit(ZONE)), CAPACITY)
-    return kept.select("key", epoch(), "level_no", "turn", "touch_count", "growing", "zone_side", "n_zones", "evicted", *rounded("avg_wick", "max_wick"))
+    return kept.select("key", epoch(), "level_no", "turn", "touch_count", "growing", "zone_side", "n_zones", F.coalesce("evicted", F.lit(-1)).alias("evicted"), *rounded("avg_wick", "max_wick"))
 
 
 @query(

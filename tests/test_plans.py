@@ -15,6 +15,8 @@ from barloom.plans.registry import QUERIES
 HEAVY = {
     "signal_scores", "agent_votes", "agent_decision", "agent_summary", "classifier_cross_validation",
     "classifier_members", "calibrated_probability", "stacked_probability", "meta_label", "model_status",
+    "signal_chain", "signal_block_reasons", "agent_track_record", "agent_reasons", "agent_critique", "engine_snapshot_full",
+    "series_forest_folds", "series_forest_status", "series_calibration", "series_stack",
 }
 
 

@@ -15,7 +15,8 @@ QUICK = (
     "advanced_patterns candle_reaction volume_profile value_area_daily best_zone synthetic_sentiment mood_asof "
     "mtf_agreement news_block_anti price_filter rule_engine window_top3 settle_signals loss_streak adaptive_threshold "
     "agent_weights hour_multipliers ts_cv_folds history_rows rules_fired marker_dedupe feed_silence feed_trailing_silence "
-    "series_model_folds series_model_walk_forward series_model_status"
+    "series_model_folds series_model_walk_forward series_model_status series_calibration signal_chain profile_per_bar "
+    "threshold_asof rejection_zone_memory news_windows_by_symbol bar_retention_1500 bars_upsert"
 ).split()
 NAMES = sorted(all_oracles()) if os.environ.get("BARLOOM_ALL_QUERIES") else QUICK
 
