@@ -84,6 +84,7 @@ QUERIES: dict[str, Query] = {
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op6_rules": sql.RULES,
     "op11_merkle": sql.MERKLE,
     "op12_fingerprints": sql.FINGERPRINTS,
     "op8_decontamination": f"""

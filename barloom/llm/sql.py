@@ -71,3 +71,18 @@ SELECT doc_id, n_chars, sha256(e) AS edited_sha256, printf('%016x%016x', o.hi, o
   1 - (bit_count(xor(o.hi, c.hi)) + bit_count(xor(o.lo, c.lo))) / 128.0 AS near_edited,
   1 - (bit_count(xor(o.hi, x.hi)) + bit_count(xor(o.lo, x.lo))) / 128.0 AS near_next, coalesce(n_near, -1) AS n_near
 FROM e JOIN f o ON o.rid = e.rid AND o.kind = 0 JOIN f c ON c.rid = e.rid AND c.kind = 1 JOIN f x ON x.rid = e.nxt AND x.kind = 0 LEFT JOIN q ON q.rid = e.rid"""
+
+RULES = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+win AS (SELECT rid, i, w[i : i + 2] AS x FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d) u),
+again AS (SELECT rid, i FROM (SELECT *, count(*) OVER (PARTITION BY rid, x) AS n FROM win) u WHERE n > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) u GROUP BY rid),
+m AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+  coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS upper,
+  len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS letters FROM d LEFT JOIN cov USING (rid)),
+b AS (SELECT *, CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END AS base,
+  CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 10 * upper > 3 * n_words THEN 8 ELSE 0 END + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 16 ELSE 0 END
+  + CASE WHEN word_chars < 3 * n_words OR word_chars > 12 * n_words THEN 32 ELSE 0 END + CASE WHEN 10 * letters < 7 * n_words THEN 64 ELSE 0 END AS rest FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base > 0 AS base_failed, base + rest = 0 AS kept, CAST(base + rest AS BIGINT) AS fail_bits FROM b"""

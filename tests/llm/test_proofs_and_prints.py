@@ -145,10 +145,10 @@ def test_block_tables_lose_nothing(spark, radius, blocks):
     assert sorted(got) == sorted((q, v) for q in asked for v in values if (q ^ v).bit_count() <= radius)
 
 
-def test_fingerprints_and_merkle_agree_with_sql(spark, samples):
+def test_results_agree_with_sql(spark, samples):
     with duckdb.connect() as con:
         con.execute(f"create view documents as select * from '{samples}/documents.parquet'")
-        for name in ("op11_merkle", "op12_fingerprints"):
+        for name in ("op6_rules", "op11_merkle", "op12_fingerprints"):
             got = queries.QUERIES[name](spark, samples)
             want = con.execute(queries.ORACLES[name])
             names = [c[0] for c in want.description]
