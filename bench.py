@@ -13,7 +13,8 @@ HEADLINE = (
     "ohlc_hourly ohlc_carry_open ohlc_gap_fill bars_rollup_ladder late_tick_audit live_bar_updates ema_family rsi_family "
     "macd atr_adx obv_vwap_vsa candlestick_18 order_blocks fair_value_gaps smc_scores harmonics volume_profile "
     "rejection_zones synthetic_sentiment mtf_agreement news_block_anti price_filter prob_fusion window_top3 "
-    "settle_signals loss_streak adaptive_threshold agent_weights features_latest"
+    "settle_signals loss_streak adaptive_threshold agent_weights features_latest "
+    "profile_per_bar bar_retention_1500 mood_asof series_model_walk_forward signal_scores"
 ).split()
 
 
