@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import bucket_of, pieces, raw_texts
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, shuffles_deleted
 
 #: Words of a class and classes of words that are predicted one by one; classes of all other words.
 SLOTS, HEAD_CLASSES, TAIL_CLASSES = 32, 31, 8
@@ -27,11 +28,9 @@ CLASS_ROWS, WORD_ROWS = 1 << 15, 1 << 16
 #: Tokens whose counts every executor holds (the most frequent); all others meet their counts in a join.
 FREQUENT = 1 << 18
 
-#: Documents that the gradient rounds read: this share of all, which grows with the corpus, or so many where that is less.
-SHARE, SAMPLE_DOCS = 0.125, 3_000
-
-#: Rounds, least workers of a round, documents of a worker from which on there are more workers, step.
-ROUNDS, WORKERS, WORKER_DOCS, STEP = 4, 8, 800, 0.15
+#: Rounds, which share all training documents; least workers of a round, documents of a worker from which on there are more
+#: workers; step, and tokens in a step.
+ROUNDS, WORKERS, WORKER_DOCS, STEP, STEP_TOKENS = 4, 8, 6_400, 0.15, 2_048
 
 #: Entries of a task's counts before they are handed on, and tokens in a batch of the model.
 HELD_TOKENS, BATCH = 400_000, 8_192
@@ -127,7 +126,16 @@ def rows_for(hashed: np.ndarray, rows: int, salt: np.ndarray | int = 0) -> np.nd
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
     x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
+
+
+def summed(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sum of the rows of a table that each row of `at` names."""
+    total = table.take(at[:, 0], axis=0)
+    for k in range(1, at.shape[1]):
+        total += table.take(at[:, k], axis=0)
+    return total
 
 
 def forward(model: Model, history: np.ndarray, wanted: np.ndarray) -> dict[str, np.ndarray]:
@@ -135,10 +143,10 @@ def forward(model: Model, history: np.ndarray, wanted: np.ndarray) -> dict[str,
     hashed = features(history)
     class_of = np.where(wanted < HEAD, wanted // SLOTS, HEAD_CLASSES + wanted - HEAD)
     class_at = rows_for(hashed, CLASS_ROWS)
-    logp = log_softmax(model.class_bias + model.weights["class"][class_at].sum(axis=1))
+    logp = log_softmax(summed(model.weights["class"], class_at) + model.class_bias)
     heads = np.flatnonzero(wanted < HEAD)
     word_at = rows_for(hashed[heads], WORD_ROWS, class_of[heads] + 1)
-    word_logp = log_softmax(model.word_bias[class_of[heads]] + model.weights["word"][word_at].sum(axis=1)) if len(heads) else np.zeros((0, SLOTS))
+    word_logp = log_softmax(summed(model.weights["word"], word_at) + model.word_bias[class_of[heads]]) if len(heads) else np.zeros((0, SLOTS))
     total = logp[np.arange(len(wanted)), class_of].astype(np.float64)
     total[heads] += word_logp[np.arange(len(heads)), wanted[heads] % SLOTS]
     return {"total": total, "class_of": class_of, "class_at": class_at, "class_logp": logp, "heads": heads, "word_at": word_at, "word_logp": word_logp}
@@ -153,8 +161,7 @@ def histories(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def symbols_of(model: Model, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Place among the frequent tokens (-1: not one) and symbol of each token."""
-    get = model.frequent.get
-    place = np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
+    place = np.fromiter(map(model.frequent.get, tokens, repeat(-1)), np.int64, len(tokens))
     symbol = model.symbol[place] if len(model.symbol) else np.zeros(len(tokens), np.int64)
     rare = np.flatnonzero(place < 0)
     symbol[rare] = [HEAD + tail_class(tokens[i]) for i in rare.tolist()]
@@ -198,51 +205,81 @@ def prepare(counts: DataFrame) -> Model:
     )
 
 
+#: Places of a row that are added one by one in `added_up`; all further ones go in one sweep.
+FEW = 6
+
+
+def added_up(at: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that `at` names, each once, and of each the sum of the gradients that name it.
+
+    at: for each gradient the rows it goes to, below 2^16. Most rows are named a few times: their gradients are added rank by
+    rank for all rows at once. What is left of the others lies together once sorted and is added in one sweep.
+    """
+    flat = at.ravel().astype(np.uint16)
+    order = np.argsort(flat, kind="stable")
+    listed, order = flat[order], order // at.shape[1]
+    first = np.flatnonzero(np.concatenate([[True], listed[1:] != listed[:-1]]))
+    times = np.diff(first, append=len(flat))
+    total = gradient.take(order[first], axis=0)
+    for k in range(1, FEW):
+        some = np.flatnonzero(times > k)
+        total[some] = total.take(some, axis=0) + gradient.take(order[first[some] + k], axis=0)
+    many = np.flatnonzero(times > FEW)
+    if len(many):
+        left = times[many] - FEW
+        starts = np.cumsum(left) - left
+        rest = np.arange(left.sum()) + np.repeat(first[many] + FEW - starts, left)
+        total[many] += np.add.reduceat(gradient.take(order[rest], axis=0), starts, axis=0)
+    return listed[first].astype(np.int64), total
+
+
 def descend(model: Model, texts: Iterator[bytes]) -> dict[str, np.ndarray]:
     """The changes of the weights after one pass of gradient steps over some texts."""
     start = {k: w.copy() for k, w in model.weights.items()}
     power = {k: np.full(len(w), 1e-2, np.float32) for k, w in model.weights.items()}
 
     def move(table: str, at: np.ndarray, gradient: np.ndarray) -> None:
-        # Each row's gradients lie together once sorted, so they are added in one sweep.
-        flat = at.ravel()
-        order = np.argsort(flat, kind="stable")
-        listed = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], listed[1:] != listed[:-1]]))
-        rows, total = listed[first], np.add.reduceat(gradient[order // at.shape[1]].astype(np.float32), first, axis=0)
-        power[table][rows] += (total * total).mean(axis=1)
-        model.weights[table][rows] -= STEP * total / np.sqrt(power[table][rows])[:, None]
+        rows, total = added_up(at, gradient)
+        now = power[table][rows] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+        power[table][rows] = now
+        total *= (STEP / np.sqrt(now))[:, None]
+        model.weights[table][rows] = model.weights[table].take(rows, axis=0) - total
 
     def batch(texts: list[bytes]) -> None:
         history, wanted = histories([symbols_of(model, [*t.lower().split(), END])[1] for t in texts])
-        for k in range(0, len(wanted), 2_048):
-            got = forward(model, history[k : k + 2_048], wanted[k : k + 2_048])
+        for k in range(0, len(wanted), STEP_TOKENS):
+            got = forward(model, history[k : k + STEP_TOKENS], wanted[k : k + STEP_TOKENS])
             p = np.exp(got["class_logp"])
             p[np.arange(len(p)), got["class_of"]] -= 1
             move("class", got["class_at"], p)
             heads = got["heads"]
             if len(heads):
                 q = np.exp(got["word_logp"])
-                q[np.arange(len(q)), wanted[k : k + 2_048][heads] % SLOTS] -= 1
+                q[np.arange(len(q)), wanted[k : k + STEP_TOKENS][heads] % SLOTS] -= 1
                 move("word", got["word_at"], q)
 
     held: list[bytes] = []
+    size = 0
     for text in texts:
         held.append(text)
-        if sum(map(len, held)) > 200_000:
+        size += len(text) + 1
+        if size > 200_000:
             batch(held)
-            held = []
+            held, size = [], 0
     if held:
         batch(held)
     return {k: model.weights[k] - start[k] for k in start}
 
 
-def train(model: Model, sample: DataFrame, n_docs: float) -> Model:
+def train(model: Model, docs: DataFrame, n_docs: int) -> Model:
     """Rounds of gradient steps on all workers at once; each row of weights moves by the mean of those who changed it.
 
+    Every text of docs is read in one of the rounds, by a hash of its id and words; a null text is an empty one.
+
     Workers send their changes in chunks of rows, which Spark adds up by chunk; the driver gets one weight table's worth.
     """
-    spark = sample.sparkSession
+    spark = docs.sparkSession
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS))
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
@@ -268,25 +305,24 @@ def train(model: Model, sample: DataFrame, n_docs: float) -> Model:
             total /= np.maximum(times, 1)[:, None]
             return pd.DataFrame({"name": [pdf["name"].iloc[0]], "at": [pdf["at"].iloc[0]], "change": [total.astype(np.float32).tobytes()]})
 
-        part = sample.filter(F.col("round") == k).select("text").repartition(max(WORKERS, int(n_docs / ROUNDS / WORKER_DOCS)))
+        part = docs.filter(turn == k).select("text").repartition(max(WORKERS, int(n_docs / ROUNDS / WORKER_DOCS)))
         schema = "name string, at bigint, change binary"
-        for r in part.mapInArrow(work, schema).groupBy("name", "at").applyInPandas(add, schema).collect():
+        with shuffles_deleted(spark):
+            changes = part.mapInArrow(work, schema).groupBy("name", "at").applyInPandas(add, schema).collect()
+        for r in changes:
             w = model.weights[r["name"]]
             w[r["at"] : r["at"] + CHUNK] += np.frombuffer(r["change"], np.float32).reshape(CHUNK, w.shape[1])
         shared.unpersist()
     return model
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, share: float = SHARE) -> tuple[Model, DataFrame]:
-    """Model and written token counts of all texts of docs; the weights are fitted on about `share` of them, or on `sample_docs`
-    where that is more."""
-    counts = cut_lineage(token_counts(docs))
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """Model and written token counts; both the counts and the weights are learnt from all texts of docs."""
+    with shuffles_deleted(docs.sparkSession):
+        counts = cut_lineage(token_counts(docs))
     model = prepare(counts)
     n_docs = int(model.counts[model.frequent[END]]) if END in model.frequent else docs.count()
-    place = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1_000_000))
-    chosen = docs.filter(F.col("text").isNotNull() & (place < int(1e6 * min(1.0, max(share, sample_docs / max(n_docs, 1))))))
-    sample = cut_lineage(chosen.select(F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).alias("round"), "text"))
-    return train(model, sample, max(share * n_docs, min(sample_docs, n_docs))), counts
+    return train(model, docs, n_docs), counts
 
 
 # Scoring

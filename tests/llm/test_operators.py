@@ -259,6 +259,29 @@ def test_language_model(docs, raw, monkeypatch):
     assert maxent.score_documents(docs.limit(0)).count() == 0
 
 
+def test_language_model_learns_from_every_training_text(spark):
+    # 600 documents of 9,000 have a word of their own; what stands after it can only be learnt from that document.
+    rows = [(i, f"own{i} after" if i % 15 == 0 else None) for i in range(9_000)]
+    model, _ = maxent.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    own = np.array([model.symbol[model.frequent[f"own{i}".encode()]] for i in range(0, 9_000, 15)])
+    assert len(set(own.tolist())) == 600 and own.max() < maxent.HEAD
+    history = np.stack([own, np.full(600, maxent.START), np.full(600, maxent.START)], axis=1)
+    # The second feature: the word and the start before it.
+    at = maxent.rows_for(maxent.features(history), maxent.CLASS_ROWS)[:, 1]
+    assert model.weights["class"][at].any(axis=1).all()
+
+
+def test_gradients_of_a_row_are_added_up():
+    rng = np.random.default_rng(4)
+    at = np.concatenate([rng.integers(0, 40, (500, 4)), rng.integers(0, 1 << 16, (500, 4)), np.full((300, 4), 65_535)])
+    gradient = rng.normal(size=(1_300, 5)).astype(np.float32)
+    want = np.zeros((1 << 16, 5))
+    np.add.at(want, at.ravel(), np.repeat(gradient, 4, axis=0))
+    rows, total = maxent.added_up(at, gradient)
+    assert rows.tolist() == np.unique(at).tolist()
+    assert np.allclose(total, want[rows], atol=1e-3)
+
+
 def test_language_model_is_a_distribution():
     words_ = [bytes([97 + k]) for k in range(20)] + [b""]
     n = np.arange(40, 19, -1)
