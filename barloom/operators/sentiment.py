@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators.joins import asof_join, trailing_range
-from barloom.operators.series import Framed, Layers, frame, number_rows, time_block
+from barloom.operators.joins import asof_join
+from barloom.operators.series import Framed, Layers, frame, prefix_scan, time_block
+from barloom.session import cut_lineage
 
 TINY = 1e-10
 SYNTHETIC = (
@@ -157,26 +158,33 @@ def mood_asof(
 ) -> DataFrame:
     """Mood at each bar: last value, freshness, crowd extreme and change over the trailing range.
 
-    `samples` has key, ts, seq, ratio; `at` is the time column of `bars` to look back from.
+    `samples` has key, ts, seq, ratio; `at` is the time column of `bars` to look back from. The trailing range is by whole
+    seconds, both ends included. Its first sample and its last each come from one scan, and their running counts give how many
+    lie between, so the work does not grow with the samples that a range holds.
     """
-    numbered = number_rows(samples, ["key"], ["ts", "seq"], time_block("ts", block_seconds))
+    counts = {"rn": ("count", F.lit(1)), "known": ("count", F.col("ratio"))}
+    numbered = prefix_scan(samples, ["key"], time_block("ts", block_seconds), ["ts", "seq"], counts).withColumn("rn", F.col("rn") - 1)
     f = frame(numbered, back=history, keys=["key"])
-    oldest = f.with_columns({"kept_first": f.prev("ratio", history - 1)}).core("key", "ts", "seq", "ratio", "rn", "kept_first")
+    # Read by three scans.
+    oldest = cut_lineage(f.with_columns({"kept_first": f.prev("ratio", history - 1)}).core("key", "ts", "seq", "ratio", "rn", "known", "kept_first"))
     matched = asof_join(
-        bars, oldest.withColumn("mood_ts", F.col("ts")), ["key"], at, "ts", block_seconds, name="mood", tie="seq"
+        bars, oldest.drop("known").withColumn("mood_ts", F.col("ts")), ["key"], at, "ts", block_seconds, name="mood", tie="seq"
     )
-    # The first sample of the range, by time and arrival.
-    first = F.min_by("_ratio", F.when(F.col("_ratio").isNotNull(), F.struct("_at", "_seq")))
-    ranged = trailing_range(
-        matched,
-        oldest.select("key", "ts", F.col("ts").alias("_at"), F.col("seq").alias("_seq"), F.col("ratio").alias("_ratio")),
-        ["key"],
-        at,
-        "ts",
-        trail,
-        {"_n": F.count("_ratio"), "_first": first},
-        block_seconds,
+    second = F.unix_timestamp(at)
+    until = asof_join(
+        matched.withColumn("_until", F.timestamp_seconds(second + 1)),
+        oldest.select("key", "ts", "seq", "known"), ["key"], "_until", "ts", block_seconds, name="_last", tie="seq", allow_exact=False,
+    )
+    # The first sample at or after a time is the newest one at or before it when time runs backwards.
+    backwards = oldest.filter(F.col("ratio").isNotNull()).select(
+        "key", F.timestamp_micros(-F.unix_micros("ts")).alias("_back"), (-F.col("seq")).alias("_seq"), F.unix_timestamp("ts").alias("second"), "ratio", "known"
     )
+    ranged = asof_join(
+        until.withColumn("_since", F.timestamp_seconds(F.lit(trail) - second)),
+        backwards, ["key"], "_since", "_back", block_seconds, name="_first", tie="_seq",
+    )
+    n = F.when(F.col("_first.second") <= second, F.col("_last.known") - F.col("_first.known") + 1).otherwise(0)
+    ranged = ranged.withColumns({"_n": n, "_first": F.col("_first.ratio")}).drop("_until", "_since", "_last")
     value = F.coalesce(F.col("mood.ratio"), F.lit(0.5))
     age = F.unix_timestamp(at) - F.unix_timestamp("mood.mood_ts")
     start = F.when(F.col("_n") > history, F.col("mood.kept_first")).otherwise(F.col("_first"))
