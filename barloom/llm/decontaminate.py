@@ -13,7 +13,8 @@ WINDOW, SHINGLE = 13, 5
 #: A side is broadcast only if it was counted and has no more rows than this; beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Letters a-z, digits and all beyond ASCII. Java finds single characters of a class in a table, but tries its ranges in turn.
+_WORD = r"[0123456789abcdefghijklmnopqrstuvwxyz\x{80}-\x{10FFFF}]+"
 
 
 def words_of(text: Column) -> Column:
@@ -34,9 +35,14 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def word_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """How often each word of the vocabulary (column word) occurs in all documents; 0 for none."""
-    found = docs.select(F.explode(words_of(F.col("text"))).alias("word")).join(sized(vocabulary), "word")
+def read_words(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns of each document with text_key and w, its words; written once, as cutting texts into words is the dearest step."""
+    return cut_lineage(docs.select(*columns, text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("w")))
+
+
+def word_counts(read: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """How often each word of the vocabulary (column word) occurs in all documents (column w); 0 for none."""
+    found = read.select(F.explode("w").alias("word")).join(sized(vocabulary), "word")
     counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return vocabulary.join(counts, "word", "left").select("word", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -61,8 +67,8 @@ def prefixes(windows: DataFrame, counts: DataFrame, shingle: int = SHINGLE) -> D
     return chosen.withColumn("h", F.xxhash64(F.slice("window", F.col("offset") + 1, F.col("length"))))
 
 
-def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Per text with an occurring window: text_key, n_words, n_hit, items (sorted ids). Equal texts count once.
+def occurrences(read: DataFrame, windows: DataFrame) -> DataFrame:
+    """Of documents as `read_words` gives them, per text with an occurring window: text_key, n_words, n_hit, items (sorted ids). Equal texts count once.
 
     1. The rarity of the benchmark's words comes from all documents. 2. Every shingle of every document meets the
     shingles chosen for the windows. 3. The window's place follows from the shingle's; it must lie within the document.
@@ -71,11 +77,11 @@ def occurrences(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """
     windows = cut_lineage(windows)
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    chosen = windows.join(prefixes(windows, word_counts(docs, vocabulary)), "window")
+    chosen = windows.join(prefixes(windows, word_counts(read, vocabulary)), "window")
     chosen = cut_lineage(chosen.select("h", "length", "offset", "window", "item_id"))
     # At most SHINGLE different lengths.
     lengths = sorted(r[0] for r in chosen.select("length").distinct().collect())
-    rows = docs.filter(F.col("text").isNotNull()).select(text_key(F.col("text")).alias("text_key"), words_of(F.col("text")).alias("w"))
+    rows = read.filter(F.col("text_key").isNotNull()).select("text_key", "w")
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     found = None
     for length in lengths or [SHINGLE]:
@@ -110,8 +116,9 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     are reported each. Items that repeat count once; a null item_id is the id '', a null item text has no window. Only
     doc_id and text of docs and item_id and text of items are read.
     """
-    hits = occurrences(docs, windows_of(items))
-    rows = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
+    read = read_words(docs, "doc_id")
+    hits = occurrences(read, windows_of(items))
+    rows = read.select("doc_id", "text_key", F.size("w").cast("bigint").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0))
     ids = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(hits.drop("n_words"), "text_key", "left").select(
@@ -125,5 +132,5 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of docs that are not contaminated, with the columns of docs; null texts stay."""
     (key,) = free_name(docs, "text_key")
-    bad = occurrences(docs, windows_of(items)).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("text_key").alias(key))
+    bad = occurrences(read_words(docs), windows_of(items)).filter(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("text_key").alias(key))
     return docs.withColumn(key, text_key(F.col("text"))).join(bad, key, "left_anti").drop(key)

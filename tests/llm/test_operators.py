@@ -259,6 +259,18 @@ def test_language_model(docs, raw, monkeypatch):
     assert maxent.score_documents(docs.limit(0)).count() == 0
 
 
+def test_words_of_decontamination_are_cut_once(spark):
+    texts = ["Only ASCII Words, 12-x\x7f[\\]^_`{|}~@Z", "É MIXED İstanbul ǅ ß €Uro 𝒜B", "", None, " \t\n", "ABC" * 50 + "é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    got = dict(docs.select("doc_id", decontaminate.words_of(docs["text"])).collect())
+    assert got == {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or "")) for i, t in enumerate(texts)}
+    items = spark.createDataFrame([("i", "only ascii words")], "item_id string, text string")
+    made = decontaminate.report(docs, items)
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in made.collect()} == {i: (len(got[i]), 3 if i == 0 else 0) for i in got}
+
+
 def test_language_model_learns_from_every_training_text(spark):
     # 600 documents of 9,000 have a word of their own; what stands after it can only be learnt from that document.
     rows = [(i, f"own{i} after" if i % 15 == 0 else None) for i in range(9_000)]
