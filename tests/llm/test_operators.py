@@ -359,6 +359,33 @@ def test_passage_repeated_in_a_text_has_a_row_for_each_place(spark):
         assert {r[1] for r in got if r[0] == i} == want and len(want) == 1 + (i % 2 == 0)
 
 
+def test_windows_of_equal_contents_are_not_told_apart_again(spark, monkeypatch):
+    rng = random.Random(5)
+    fill = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    shared = fill(2_000)
+    df = spark.createDataFrame([(i, " ".join([fill(60), shared, fill(60)])) for i in range(24)], "doc_id bigint, text string").repartition(3)
+    sent, closer = [], passages.closer_windows
+    monkeypatch.setattr(passages, "closer_windows", lambda common: sent.append(common.selectExpr("sum(size(at))").first()[0]) or closer(common))
+    assert {r[0] for r in rows_of(passages.repeated_passages(df)) if r[3] >= 2_000} == set(range(24))
+    known = passages.met_by_value(passages.windows(df.selectExpr("xxhash64(text) AS key", "text"))).count()
+    assert known > 24 * 200 and (sent[0] or 0) < known / 4
+
+
+def test_no_shared_passage_is_missed_among_texts_of_common_pieces(spark):
+    rng = random.Random(6)
+    fill = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    pool = [fill(rng.randrange(15, 48)) for _ in range(12)]
+    rows = [(i, " ".join(x for _ in range(4) for x in (fill(rng.randrange(1, 60)), *rng.choices(pool, k=rng.randrange(1, 3))))) for i in range(90)]
+    got = rows_of(passages.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+    grams = defaultdict(set)
+    for i, text in rows:
+        w = words(text)
+        for k in range(len(w) - 49):
+            grams[tuple(w[k : k + 50])].add(i)
+    want = {i for s in grams.values() if len(s) > 1 for i in s}
+    assert 10 < len(want) < 90 and want <= {r[0] for r in got}
+
+
 def test_compact_windows_are_cartesian_tree_nodes():
     rng = np.random.default_rng(0)
     for _ in range(60):
