@@ -163,7 +163,9 @@ def mood_asof(
     lie between, so the work does not grow with the samples that a range holds.
     """
     counts = {"rn": ("count", F.lit(1)), "known": ("count", F.col("ratio"))}
-    numbered = prefix_scan(samples, ["key"], time_block("ts", block_seconds), ["ts", "seq"], counts).withColumn("rn", F.col("rn") - 1)
+    # Both passes of the scan read it, and messages are slow to parse.
+    parsed = cut_lineage(samples.select("key", "ts", "seq", "ratio"))
+    numbered = prefix_scan(parsed, ["key"], time_block("ts", block_seconds), ["ts", "seq"], counts).withColumn("rn", F.col("rn") - 1)
     f = frame(numbered, back=history, keys=["key"])
     # Read by three scans.
     oldest = cut_lineage(f.with_columns({"kept_first": f.prev("ratio", history - 1)}).core("key", "ts", "seq", "ratio", "rn", "known", "kept_first"))
@@ -234,9 +236,9 @@ def order_flow_asof(
     bars: DataFrame, sizes: DataFrame, at: str, max_age: int = 60, block_seconds: int = 86400 * 7
 ) -> DataFrame:
     """Order-flow totals and imbalance at each bar; stale or empty messages read as balanced."""
-    matched = asof_join(
-        bars, sizes.withColumn("flow_ts", F.col("ts")), ["key"], at, "ts", block_seconds, name="flow", tie="seq"
-    )
+    # Both passes of the join read it, and messages are slow to parse.
+    parsed = cut_lineage(sizes.withColumn("flow_ts", F.col("ts")))
+    matched = asof_join(bars, parsed, ["key"], at, "ts", block_seconds, name="flow", tie="seq")
     total = F.col("flow.buy") + F.col("flow.sell")
     fresh = (F.unix_timestamp(at) - F.unix_timestamp("flow.flow_ts") <= max_age) & (total > 0)
     return matched.withColumns(

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators.sentiment import mood_asof
+from barloom.operators.sentiment import mood_asof, order_flow_asof
 
 START = 1704067200
 
@@ -52,3 +52,19 @@ def test_mood_does_not_slide_over_the_samples_of_a_range(mood):
     plan = mood[2]._jdf.queryExecution().optimizedPlan().toString()
     frames = re.findall(r"RangeFrame, ([^,]+), ([^)]+)\)", plan)
     assert all(lower == "unboundedpreceding$()" for lower, _ in frames)
+
+
+def test_messages_are_parsed_once(spark):
+    bars = spark.createDataFrame([("a", START + 60 * k) for k in range(10)], "key string, s bigint").select("key", F.timestamp_seconds("s").alias("end"))
+    raw = spark.range(200).select(F.lit("a").alias("key"), F.timestamp_seconds(F.lit(START) + F.col("id")).alias("ts"), F.col("id").alias("seq"), (F.col("id") / 200).alias("x"))
+    for join, names in ((mood_asof, ["ratio"]), (order_flow_asof, ["buy", "sell"])):
+        read = spark.sparkContext.accumulator(0)
+
+        def parse(batches, read=read, names=names):
+            for b in batches:
+                read.add(len(b))
+                yield b.assign(**{name: b["x"] for name in names})[["key", "ts", "seq", *names]]
+
+        parsed = raw.mapInPandas(parse, "key string, ts timestamp, seq bigint, " + ", ".join(f"{name} double" for name in names))
+        assert join(bars, parsed, "end").count() == len(join(bars, raw.withColumns(dict.fromkeys(names, F.col("x"))).drop("x"), "end").collect()) == 10
+        assert read.value == 200
