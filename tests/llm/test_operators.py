@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -386,6 +387,40 @@ def test_no_shared_passage_is_missed_among_texts_of_common_pieces(spark):
     assert 10 < len(want) < 90 and want <= {r[0] for r in got}
 
 
+def test_texts_of_a_batch_are_hashed_together(monkeypatch):
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return lambda batch: [r for out in run(iter([batch])) for r in out.to_pylist()]
+
+    rng = random.Random(8)
+    fill = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    pool = [fill(60) for _ in range(3)]
+    texts = [" ".join([fill(rng.randrange(1, 40)), pool[k % 3], fill(3), pool[(k + 1) % 3], fill(20)]) for k in range(40)]
+    sides = list(zip(texts, [*texts[1:], ""], strict=True))
+    spans = [passages.similar_spans(a.encode(), b.encode()) for a, b in sides]
+    calls, hashes = [], passages.shingle_hashes
+    monkeypatch.setattr(passages, "shingle_hashes", lambda words: calls.append(len(words)) or hashes(words))
+
+    regions = [{"key": k, "rk": k + 1, "l": 7 * k, "rl": 5 * k, "a": a.encode(), "b": b.encode()} for k, (a, b) in enumerate(sides)]
+    got = [tuple(r.values()) for r in passages.verified(Rows())(pa.RecordBatch.from_pylist(regions))]
+    want = [(k, k + 1, 7 * k + s[0], 7 * k + s[1], s[4], 5 * k + s[2], 5 * k + s[3], s[5]) for k, x in enumerate(spans) for s in x]
+    assert got == want and {r[0] for r in got} == set(range(39)) and len(calls) == 2
+
+    found = passages.windows(Rows())(pa.RecordBatch.from_pylist([{"key": k, "text": x} for k, x in enumerate(texts)]))
+    common = [{"key": k, "text": x.encode(), "at": [{c: r[c] for c in "vclr"} for r in found if r["key"] == k]} for k, x in enumerate(texts)]
+    calls.clear()
+    closer = lambda rows: sorted(tuple(r[c] for c in ("whole", "v", "key", "c", "l", "r")) for r in passages.closer_windows(Rows())(pa.RecordBatch.from_pylist(rows)))
+    together = closer(common)
+    assert len(calls) == 1
+    assert together == sorted(r for x in common for r in closer([x])) and {r[2] for r in together if r[0]} == set(range(40))
+
+
+def test_words_of_texts_are_counted(spark):
+    rows = [(1, "a  b\tc"), (2, ""), (None, " x\n"), (3, "é\u00a0y z" * 99_999)]
+    got = passages.word_counts(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "xxhash64(text) AS key", "text"))
+    assert {(r[0], r[2]) for r in got.collect()} == {(i, len(words(text))) for i, text in rows}
+
+
 def test_compact_windows_are_cartesian_tree_nodes():
     rng = np.random.default_rng(0)
     for _ in range(60):
